@@ -1,6 +1,7 @@
 """Queries of this folder, and the DuckDB SQL of those that SQL can express."""
 
+from sedimenta.llm.simhash import op4_simhash
 from sedimenta.llm.token_files import op1_token_files
 
-QUERIES = {f.__name__: f for f in (op1_token_files,)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op4_simhash)}
 ORACLES: dict[str, str] = {}
