@@ -25,7 +25,7 @@ from sedimenta.llm import scratch
 SAMPLE = 20_000
 TREES, SUBSAMPLE, SEED = 100, 256, 7
 #: The share of good labelled rows that the threshold may reject.
-MAY_REJECT = 0.003
+MAY_REJECT = 0.002
 SYMBOLS = b"#*$%&|<>"
 COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks", "n_digits", "n_lines", "n_distinct_words"]
 _NO_SYMBOL = bytes(c for c in range(256) if c not in SYMBOLS)
@@ -83,9 +83,9 @@ def rule_statistics(docs: DataFrame) -> DataFrame:
 
 def features(stats: np.ndarray) -> np.ndarray:
     """Ratios in which size cancels, by rows of COLUMNS; path lengths over them isolate what is odd, not what is long."""
-    n, chars, symbols, dup, repeat, upper, marks, digits, lines, distinct = stats.astype(float).T
-    size = np.maximum(chars, 1)
-    return np.column_stack([np.sqrt(symbols / size), np.sqrt(dup / np.maximum(lines, 1)), np.sqrt(repeat / np.maximum(n, 1)), np.sqrt(upper / size), np.sqrt(marks / size), np.sqrt(digits / size), chars / np.maximum(n, 1)])
+    n, chars, symbols, dup, _, upper, _, _, lines, _ = stats.astype(float).T
+    size, words = np.maximum(chars, 1), np.maximum(n, 1)
+    return np.column_stack([np.sqrt(symbols / size), np.sqrt(symbols / words), upper / size, chars / words, dup / np.maximum(lines, 1)])
 
 
 def grow(x: np.ndarray, span: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = SEED) -> list[tuple]:
@@ -109,7 +109,7 @@ def grow(x: np.ndarray, span: np.ndarray, trees: int = TREES, subsample: int = S
                 column.append(-1), value.append(0.0), left.append(-1), path.append(depth + mean_path(len(own)))
                 continue
             c = int(rng.choice(wide))
-            margin = 0.2 * span[c]
+            margin = 0.5 * span[c]
             v = float(rng.uniform(low[c] - margin, high[c] + margin))
             column.append(c), value.append(v), left.append(len(column) + len(todo)), path.append(0.0)
             below = own[:, c] < v
@@ -141,7 +141,7 @@ def train(stats: DataFrame, labels: DataFrame) -> tuple[list[tuple], float]:
     known = labels.where(F.col("quality").isin(0, 1)).select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     rows = stats.where(~base_failed()).join(F.broadcast(known), "doc_id").toArrow()  # at most SAMPLE labels
     quality = rows.column("quality").to_numpy() if rows.num_rows else np.zeros(0)
-    x = features(np.column_stack([rows.column(c).to_numpy() for c in COLUMNS])) if rows.num_rows else np.zeros((0, 7))
+    x = features(np.column_stack([rows.column(c).to_numpy() for c in COLUMNS])) if rows.num_rows else np.zeros((0, 5))
     good = x[quality == 1]
     if len(good) < 2:
         return [], -1.0
