@@ -2,8 +2,9 @@
 
 from sedimenta.llm.quality import op3_quality
 from sedimenta.llm.simhash import op4_simhash
+from sedimenta.llm.substring_dedup import op5_suffix_array
 from sedimenta.llm.token_files import op1_token_files
 from sedimenta.llm.toxicity import op2_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_toxicity, op3_quality, op4_simhash)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_toxicity, op3_quality, op4_simhash, op5_suffix_array)}
 ORACLES: dict[str, str] = {}
