@@ -4,7 +4,7 @@ A byte goes if a string of ``length`` bytes that covers it also starts in a docu
 without moving them all: each takes the least hash of its k-grams as its key, neighbours with one key form a run, and a run is sent as its
 key with a hash of its bytes, once a pack of documents. Where all runs of a key have the same bytes, the smallest doc_id decides. The rest,
 runs that differ and still may share strings, are cut again by the keys of longer k-grams, and these pieces are sent as bytes. The pieces
-of a key are joined, their suffix array is built by linear grouping (suffix_array.py), and neighbours in it that agree in ``length`` bytes
+of a key are joined, with the k-gram that they share as one letter, their suffix array is built by linear grouping (suffix_array.py), and neighbours in it that agree in ``length`` bytes
 are one string, whose smallest doc_id decides.
 
 Documents travel in packs, written once; answers come back to them by pack. A pack, a bucket of runs and a block of pieces have bounded
@@ -170,58 +170,95 @@ def judge_runs(key: np.ndarray, content: np.ndarray, ids: np.ndarray) -> np.ndar
 
 
 def judge_pieces(pieces: list[bytes], ids: list[int], keys: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each piece, which of its windows a smaller id has too. Windows can only be equal within a key."""
+    """For each piece, which of its windows a smaller id has too. Windows can only be equal within a key.
+
+    Every window of a piece holds the k-gram of its key. Where a piece has it once, the k-gram is one letter of the text that is sorted, so that
+    a window is that letter with what surrounds it; pieces that repeat it are sorted in full.
+    """
     by_key: dict[int, dict[bytes, int]] = defaultdict(dict)
     for piece, d, k in zip(pieces, ids, keys.tolist()):
         own = by_key[k]
         own[piece] = min(d, own.get(piece, d))
     known: dict[tuple[int, bytes], np.ndarray] = {}  # the least id of each window of the distinct pieces
-    block: list[tuple[int, bytes, int]] = []
-    size = 0
+    hard: list[tuple[int, bytes, int]] = []
     for k, own in by_key.items():
         if len(own) == 1 or min(own.values()) == max(own.values()):
             for piece, d in own.items():
                 known[k, piece] = np.full(len(piece) - length + 1, d, np.int64)
-            continue
-        for piece, d in own.items():
-            block.append((k, piece, d))
-            size += len(piece)
-        if size >= BLOCK_BYTES:
-            _least_by_suffix_array(block, length, known)
-            block, size = [], 0
-    if block:
-        _least_by_suffix_array(block, length, known)
+        else:
+            hard += [(k, piece, d) for piece, d in own.items()]
+    for a, b in _blocks(hard):
+        _least_of_block(hard[a:b], length, known)
     return [known[k, piece] < d for piece, d, k in zip(pieces, ids, keys.tolist())]
 
 
-def _least_by_suffix_array(block: list[tuple[int, bytes, int]], length: int, known: dict) -> None:
+def _blocks(rows: list[tuple[int, bytes, int]]):
+    """Bounds of parts of about BLOCK_BYTES that don't cut a key's rows."""
+    a = size = 0
+    for i, (k, piece, _) in enumerate(rows):
+        if size >= BLOCK_BYTES and k != rows[i - 1][0]:
+            yield a, i
+            a, size = i, 0
+        size += len(piece)
+    if a < len(rows):
+        yield a, len(rows)
+
+
+def _least_of_block(block: list[tuple[int, bytes, int]], length: int, known: dict) -> None:
     """Fills known with the least id of each window of the block's pieces; all pieces of a key are in one block."""
-    text = b"".join(piece for _, piece, _ in block)
-    owner, at = [-1] * len(text), 0
-    for i, (_, piece, _) in enumerate(block):
+    data = np.frombuffer(b"".join(piece for _, piece, _ in block), np.uint8)
+    hashes, at = _gram_hashes(data, LONG), 0
+    places = []
+    for k, piece, _ in block:
+        n = len(piece) - LONG + 1
+        found = np.flatnonzero(hashes[at : at + n] == np.uint64(k))
+        places.append(int(found[0]) if len(found) == 1 else -1)
+        at += len(piece)
+    repeats = {k for (k, _, _), place in zip(block, places) if place < 0}
+    short, full = [], []
+    for (k, piece, d), place in zip(block, places):
+        if k in repeats:
+            full.append((k, piece, d, piece, k))
+        else:
+            short.append((k, piece, d, piece[:place] + b"\xff" + piece[place + LONG :], (k, piece[place : place + LONG])))
+    for rows, width in ((short, length - LONG + 1), (full, length)):
+        if rows:
+            _least_by_suffix_array(rows, length, width, known)
+
+
+def _least_by_suffix_array(rows: list[tuple], length: int, width: int, known: dict) -> None:
+    """rows: (key, piece, id, its text, the group in which its windows may be equal); a window is width letters of the text."""
+    text = b"".join(r[3] for r in rows)
+    owner, starts, at = [-1] * len(text), [], 0
+    least = []
+    for i, (_, piece, d, own, _) in enumerate(rows):
         n = len(piece) - length + 1
         owner[at : at + n] = [i] * n
-        at += len(piece)
-    starts = np.cumsum([0] + [len(piece) for _, piece, _ in block]).tolist()
-    least = [np.full(len(piece) - length + 1, d, np.int64) for _, piece, d in block]
+        starts.append(at)
+        least.append(np.full(n, d, np.int64))
+        at += len(own)
     same: list[int] = []
     before = b""
 
     def close():
         if len(same) > 1:
-            d = min(block[owner[s]][2] for s in same)
+            groups = defaultdict(list)
             for s in same:
-                least[owner[s]][s - starts[owner[s]]] = d
+                groups[rows[owner[s]][4]].append(s)
+            for group in groups.values():
+                d = min(rows[owner[s]][2] for s in group)
+                for s in group:
+                    least[owner[s]][s - starts[owner[s]]] = d
 
     for s in suffix_array(text):
         if owner[s] >= 0:
-            window = text[s : s + length]
+            window = text[s : s + width]
             if window != before:
                 close()
                 same, before = [], window
             same.append(s)
     close()
-    for (k, piece, _), low in zip(block, least):
+    for (k, piece, *_), low in zip(rows, least):
         known[k, piece] = low
 
 
