@@ -1,10 +1,11 @@
 """Queries of this folder, and the DuckDB SQL of those that SQL can express."""
 
+from sedimenta.llm.nn_descent import op8_nn_descent
 from sedimenta.llm.quality import op3_quality
 from sedimenta.llm.simhash import op4_simhash
 from sedimenta.llm.substring_dedup import op5_suffix_array
 from sedimenta.llm.token_files import op1_token_files
 from sedimenta.llm.toxicity import op2_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_toxicity, op3_quality, op4_simhash, op5_suffix_array)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_toxicity, op3_quality, op4_simhash, op5_suffix_array, op8_nn_descent)}
 ORACLES: dict[str, str] = {}
