@@ -2,10 +2,11 @@
 
 Host and path are cut out of the url with column expressions and held against a fixed list of rules. Urls that no rule fits are judged by
 multinomial naive Bayes: runs of letters in host and path are split into words by Viterbi over a unigram model, whose counts are those of
-all words in the pages' own text, and the words are scored. It learns from the urls that a rule fits, all of them, by the rule's verdict.
+all words in the pages' own text, and the words are scored. It learns from all urls: those with a seed word in their segmented host are
+its examples of block, the others of allow, so that words that keep company with seed words count as well.
 
-Cases: a null url or one without ``://`` has an empty host and path, no rule and the verdict allow; a null html adds no words; without urls under
-block and under allow rules all else is allowed; rows of an equal page_id each get a row; an empty table gives no rows; other columns are
+Cases: a null url or one without ``://`` has an empty host and path, no rule and the verdict allow; a null html adds no words; without urls with and
+without a seed word all else is allowed; rows of an equal page_id each get a row; an empty table gives no rows; other columns are
 ignored.
 """
 
@@ -23,6 +24,10 @@ from pyspark.sql import functions as F
 
 #: (host and path, verdict)
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
+#: Words in host names that mark a url as an example of block.
+SEEDS = ("ads", "adult", "bet", "bets", "betting", "bonus", "cheap", "casino", "escort", "farm", "free", "gambling", "loan", "loans", "lottery", "malware", "phishing", "pills", "poker", "porn", "replica", "sex", "slots", "spam", "tracker", "track", "viagra", "warez", "win", "xxx")
+#: A host needs two of them, or one of these.
+STRONG = ("adult", "casino", "escort", "gambling", "malware", "phishing", "porn", "spam", "viagra", "warez", "xxx")
 #: Words of the unigram model, the most frequent, and places that hashed words are counted in: the bounds of what goes to the driver.
 VOCABULARY, PLACES = 20_000, 1 << 16
 LONGEST = 24
@@ -65,8 +70,9 @@ def unigrams(pages: DataFrame, vocabulary: int = VOCABULARY) -> dict[str, float]
 
     counted = pages.select(F.col("html").cast("binary")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     best = counted.where(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(vocabulary).collect()
-    total = sum(r.n for r in best)
-    return {r.word: math.log(r.n / total) for r in best}
+    counts = {r.word: r.n for r in best}
+    total = sum(counts.values()) + len(SEEDS)
+    return {w: math.log((counts.get(w, 0) + (w in SEEDS)) / total) for w in {*counts, *SEEDS}}
 
 
 class Segmenter:
@@ -107,21 +113,28 @@ class Segmenter:
         return out
 
 
+def is_example_of_block(tokens: list[str]) -> bool:
+    """Whether the host's words hold a strong seed word or two seed words."""
+    words = {t[2:] for t in tokens if t.startswith("h:")}
+    return not words.isdisjoint(STRONG) or len(words.intersection(SEEDS)) > 1
+
+
 def train(marked: DataFrame, log_p: dict[str, float]) -> np.ndarray | None:
     """Log odds of block: one for each place, then the prior's; None without urls of both verdicts."""
 
     def run(batches):
         segmenter, counts = Segmenter(log_p), np.zeros((2, PLACES + 1), np.int64)
         for batch in batches:
-            for host, path, ruled in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-                own = counts[int(ruled == "block")]
+            for host, path in zip(*[batch.column(i).to_pylist() for i in range(2)]):
+                tokens = segmenter.tokens(host, path)
+                own = counts[int(is_example_of_block(tokens))]
                 own[PLACES] += 1
-                for t in segmenter.tokens(host, path):
+                for t in tokens:
                     own[crc32(t.encode()) % PLACES] += 1
         c, place = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(counts[c, place])], names=["c", "place", "n"])
 
-    rows = marked.where("ruled IS NOT NULL").select("host", "path", "ruled").mapInArrow(run, "c int, place int, n long").groupBy("c", "place").agg(F.sum("n").alias("n")).collect()  # at most two for each place
+    rows = marked.where("host != ''").select("host", "path").mapInArrow(run, "c int, place int, n long").groupBy("c", "place").agg(F.sum("n").alias("n")).collect()  # at most two for each place
     counts = np.zeros((2, PLACES + 1))
     for r in rows:
         counts[r.c, r.place] = r.n
