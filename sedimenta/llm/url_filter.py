@@ -31,6 +31,8 @@ STRONG = ("adult", "casino", "escort", "gambling", "malware", "phishing", "porn"
 #: Words of the unigram model, the most frequent, and places that hashed words are counted in: the bounds of what goes to the driver.
 VOCABULARY, PLACES = 20_000, 1 << 16
 LONGEST = 24
+#: Added to each seen place's count.
+SMOOTH = 0.1
 MEMORY = 200_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -140,7 +142,9 @@ def train(marked: DataFrame, log_p: dict[str, float]) -> np.ndarray | None:
         counts[r.c, r.place] = r.n
     if not counts[:, PLACES].all():
         return None
-    smooth = np.log((counts[:, :PLACES] + 1) / (counts[:, :PLACES].sum(axis=1, keepdims=True) + PLACES))
+    seen = (counts[:, :PLACES].sum(axis=0) > 0).sum()
+    smooth = np.log((counts[:, :PLACES] + SMOOTH) / (counts[:, :PLACES].sum(axis=1, keepdims=True) + SMOOTH * seen))
+    smooth[:, counts[:, :PLACES].sum(axis=0) == 0] = 0
     return np.append(smooth[1] - smooth[0], np.log(counts[1, PLACES] / counts[0, PLACES]))
 
 
