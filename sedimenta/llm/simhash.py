@@ -55,14 +55,14 @@ def fingerprint(text: bytes | None, width: int = 3, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's bits as a signed long."""
+    """(doc_id, text_hash, fp): fp is the fingerprint's bits as a signed long."""
 
     def run(batches):
         for batch in batches:
             bits = [fingerprint(t, width, seed) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b - (1 << 64) if b >> 63 else b for b in bits], pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([b - (1 << 64) if b >> 63 else b for b in bits], pa.int64())], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def _signed(x: int) -> int:
@@ -99,16 +99,28 @@ def links(fps: DataFrame, radius: int = 2, dense: int = DENSE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for each row of docs (doc_id, text)."""
+    """(doc_id, text_hash, fingerprint, component_id) for each row of docs (doc_id, text)."""
     marked = scratch.save(fingerprints(docs), "simhash-fp")
     distinct = scratch.save(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     parts = graph.components(links(distinct.select("fp"), radius), "simhash-parts")
     rooted = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = rooted.groupBy("component").agg(F.min("first").alias("component_id"))
     classes = scratch.save(rooted.join(least, "component").select("fp", "component_id"), "simhash-classes")
-    return marked.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return marked.join(classes, "fp").select("doc_id", "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = 2) -> DataFrame:
+    """docs (doc_id, text and others) with one row of each component: the one of its least doc_id."""
+    marked = near_duplicates(docs, radius)
+    best = marked.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("nameless")).agg(F.min(F.struct(F.coalesce(F.col("doc_id") != F.col("component_id"), F.lit(True)), "doc_id", "text_hash")).alias("b"))
+    chosen = scratch.save(best.select(F.col("b.doc_id").alias("of_id"), F.col("b.text_hash").alias("of_hash")), "simhash-chosen")
+    out = docs.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("of_id")) & (F.xxhash64("text") == F.col("of_hash")), "left_semi")
+    again = marked.join(chosen, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")), "left_semi")
+    if again.count() > chosen.count():  # rows that are repeated as they are
+        out = out.dropDuplicates(["doc_id", "text"])
+    return out
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: three words, XXH64, two bits."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")

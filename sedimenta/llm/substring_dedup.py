@@ -339,7 +339,8 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def remove_repeats(docs: DataFrame, keep: list[str] | None = None, with_text: bool = False, length: int = LENGTH, pack_bytes: int = PACK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of docs (doc_id, text), then the columns of keep and, with_text, the bytes kept.
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of docs (doc_id, text), then the columns of keep and, with_text, the text kept, without
+    characters that are cut.
 
     length may be LONG to any size. bucket_bytes bounds what a task takes from all packs, in bytes of documents.
     """
@@ -440,9 +441,9 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, with_text: bo
                     n_removed.append(b - a - len(left))
                     n_spans.append(int(own[:1].sum() + (own[1:] & ~own[:-1]).sum()))
                     sha.append(hashlib.sha256(left).hexdigest())
-                    texts.append(left)
+                    texts.append(left.decode("utf-8", "ignore") if with_text else None)
                 columns = [table.column("doc_id").combine_chunks(), pa.array(np.diff(at, prepend=0), pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha)]
-                columns += [table.column(c).combine_chunks() for c in keep] + ([pa.array(texts, pa.binary())] if with_text else [])
+                columns += [table.column(c).combine_chunks() for c in keep] + ([pa.array(texts, pa.string())] if with_text else [])
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *keep, *["kept"] * with_text])
 
     def by_pack(answers: DataFrame, name: str) -> DataFrame:
@@ -451,7 +452,7 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, with_text: bo
     answered = scratch.save(packs.mapInArrow(send_runs, _SENT).groupBy("bucket").applyInArrow(answer_runs, _SENT), "repeats-runs", "none")
     with_runs = packs.join(by_pack(answered, "runs"), "pack_id", "left")
     pieces = scratch.save(with_runs.mapInArrow(send_pieces, _SENT).groupBy("bucket").applyInArrow(answer_pieces, _SENT), "repeats-pieces", "none")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", kept binary" * with_text
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", kept string" * with_text
     return with_runs.join(by_pack(pieces, "pieces"), "pack_id", "left").mapInArrow(finish, schema)
 
 

@@ -105,10 +105,10 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
     return places, weights[places], intercept
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep: str = "", schema: str = "") -> DataFrame:
-    """(doc_id, score) of docs; with keep, a DDL list of other columns, these follow."""
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, score) of docs, then the columns of keep."""
     places, values, intercept = model
-    names = [f.split()[0] for f in keep.split(",") if f.strip()]
+    names = [c for c in keep or [] if c != "doc_id"]
 
     def run(batches):
         weights, kept = np.zeros(len(LENGTHS) << PLACES), np.zeros(len(LENGTHS) << PLACES, bool)
@@ -125,7 +125,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep: st
             out = 1 / (1 + np.exp(-np.clip(total, -40, 40)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out), *[batch.column(2 + i) for i in range(len(names))]], names=["doc_id", "score", *names])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), *names).mapInArrow(run, "doc_id long, score double" + (", " + keep if keep else ""))
+    schema = "doc_id long, score double" + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("scored text"), *[f"`{c}`" for c in names]).mapInArrow(run, schema)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
