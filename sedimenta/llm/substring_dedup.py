@@ -169,27 +169,34 @@ def judge_runs(key: np.ndarray, content: np.ndarray, ids: np.ndarray) -> np.ndar
     return out
 
 
-def judge_pieces(pieces: list[bytes], ids: list[int], keys: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each piece, which of its windows a smaller id has too. Windows can only be equal within a key.
+def judge_pieces(pieces: list[bytes], ids: np.ndarray, keys: np.ndarray, length: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """For each piece 1 if a smaller id has all of its windows, 0 if none, or 2; and for the latter, in order, which windows.
 
-    Every window of a piece holds the k-gram of its key. Where a piece has it once, the k-gram is one letter of the text that is sorted, so that
-    a window is that letter with what surrounds it; pieces that repeat it are sorted in full.
+    Windows can only be equal within a key. Every window of a piece holds the k-gram of its key. Where a piece has it once, the k-gram is one
+    letter of the text that is sorted, so that a window is that letter with what surrounds it; pieces that repeat it are sorted in full.
     """
-    by_key: dict[int, dict[bytes, int]] = defaultdict(dict)
-    for piece, d, k in zip(pieces, ids, keys.tolist()):
-        own = by_key[k]
-        own[piece] = min(d, own.get(piece, d))
-    known: dict[tuple[int, bytes], np.ndarray] = {}  # the least id of each window of the distinct pieces
-    hard: list[tuple[int, bytes, int]] = []
-    for k, own in by_key.items():
-        if len(own) == 1 or min(own.values()) == max(own.values()):
-            for piece, d in own.items():
-                known[k, piece] = np.full(len(piece) - length + 1, d, np.int64)
-        else:
-            hard += [(k, piece, d) for piece, d in own.items()]
-    for a, b in _blocks(hard):
-        _least_of_block(hard[a:b], length, known)
-    return [known[k, piece] < d for piece, d, k in zip(pieces, ids, keys.tolist())]
+    number: dict[bytes, int] = {}
+    own = np.fromiter((number.setdefault(piece, len(number)) for piece in pieces), np.int64, len(pieces))
+    distinct = list(number)
+    least = np.full(len(distinct), np.iinfo(np.int64).max)
+    np.minimum.at(least, own, ids)
+    key = np.empty(len(distinct), np.uint64)
+    key[own] = keys
+    order = np.argsort(key, kind="stable")
+    new = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+    low, high = np.minimum.reduceat(least[order], new), np.maximum.reduceat(least[order], new)
+    mixed = np.repeat(low < high, np.diff(np.append(new, len(order))))
+    hard = order[mixed]
+    rows = [(k, distinct[i], d) for i, k, d in zip(hard.tolist(), key[hard].tolist(), least[hard].tolist())]
+    known: dict[bytes, np.ndarray] = {}  # the least id of each window
+    for a, b in _blocks(rows):
+        _least_of_block(rows[a:b], length, known)
+    codes = (ids > least[own]).astype(np.uint8)
+    is_hard = np.zeros(len(distinct), bool)
+    is_hard[hard] = True
+    asked = np.flatnonzero(is_hard[own] & (codes == 0))
+    codes[asked] = 2
+    return codes, [known[pieces[i]] < d for i, d in zip(asked.tolist(), ids[asked].tolist())]
 
 
 def _blocks(rows: list[tuple[int, bytes, int]]):
@@ -258,8 +265,8 @@ def _least_by_suffix_array(rows: list[tuple], length: int, width: int, known: di
                 same, before = [], window
             same.append(s)
     close()
-    for (k, piece, *_), low in zip(rows, least):
-        known[k, piece] = low
+    for (_, piece, *_), low in zip(rows, least):
+        known[piece] = low
 
 
 def _packs(docs: DataFrame, keep: list[str], pack_bytes: int) -> DataFrame:
@@ -331,6 +338,34 @@ def _verdicts(pack: Pack, buckets: int, answers) -> np.ndarray:
     return out
 
 
+def _spread(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For parts of these sizes laid end to end: the part of each place, and its place within it."""
+    part = np.repeat(np.arange(len(sizes)), sizes)
+    return part, np.arange(len(part)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _removed_pieces(pack: Pack, opened: np.ndarray, answers, buckets: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the bytes that go by the answers for pieces."""
+    cut = pack.pieces(opened)
+    stands, group = _piece_representatives(pack, cut)
+    codes = np.zeros(len(stands), np.uint8)
+    windows = (cut[2] - cut[1])[stands] - length + 1
+    begins = np.cumsum(windows) - windows
+    flags = np.zeros(int(windows.sum()), bool)
+    for part, raw in _answers(_bucket(cut[0][stands], buckets), answers):
+        codes[part] = raw[: len(part)]
+        asked = part[codes[part] == 2]
+        which, within = _spread(windows[asked])
+        flags[begins[asked][which] + within] = raw[len(part) :] != 0
+    ids = pack.ids[cut[3]]
+    whole = (ids > ids[stands][group]) | (codes[group] == 1)
+    open_ = np.flatnonzero(~whole & (codes[group] == 2))
+    which, within = _spread(windows[group[open_]])
+    gone = flags[begins[group[open_]][which] + within]
+    at = cut[1][open_][which[gone]] + within[gone]
+    return np.concatenate([cut[1][whole], at]), np.concatenate([cut[2][whole], at + length])
+
+
 _SENT = "pack_id long, bucket int, blob binary"
 
 
@@ -388,7 +423,7 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, with_text: bo
                 cut = pack.pieces(opened)
                 stands, _ = _piece_representatives(pack, cut)
                 key, start, end, ids = cut[0][stands], cut[1][stands], cut[2][stands], pack.ids[cut[3][stands]] if len(stands) else np.zeros(0, np.int64)
-                blob = lambda part: _squeeze(np.array([len(part)], "<i8"), key[part], (end - start)[part].astype("<i8"), ids[part], *[pack.data[start[i] : end[i]] for i in part])
+                blob = lambda part: _squeeze(np.array([len(part)], "<i8"), key[part], (end - start)[part].astype("<i8"), ids[part], np.frombuffer(b"".join([pack.bytes[start[i] : end[i]] for i in part]), np.uint8))
                 if len(key):
                     yield _rows(_sent(pack_id, _bucket(key, buckets), blob))
 
@@ -403,12 +438,15 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, with_text: bo
                 pieces.append(raw[at : at + s])
                 at += s
             keys.append(key)
-            ids += own.tolist()
+            ids.append(own)
             rows.append((p, b, n))
-        found, at, out = judge_pieces(pieces, ids, np.concatenate(keys), length), 0, []
+        codes, flags = judge_pieces(pieces, np.concatenate(ids), np.concatenate(keys), length)
+        out, at, asked = [], 0, 0
         for p, b, n in rows:
-            out.append((p, b, _squeeze(*[x.astype(np.uint8) for x in found[at : at + n]])))
-            at += n
+            part = codes[at : at + n]
+            more = int((part == 2).sum())
+            out.append((p, b, _squeeze(part, *flags[asked : asked + more])))
+            at, asked = at + n, asked + more
         return pa.Table.from_batches([_rows(out)])
 
     def finish(batches):
@@ -420,19 +458,9 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, with_text: bo
                 np.add.at(edge, pack.first[whole], 1)
                 np.add.at(edge, pack.last[whole] + length, -1)
                 if by_piece is not None:
-                    cut = pack.pieces(opened)
-                    stands, group = _piece_representatives(pack, cut)
-                    removed: list = [None] * len(stands)
-                    for part, flags in _answers(_bucket(cut[0][stands], buckets), by_piece):
-                        n = (cut[2] - cut[1])[stands[part]] - length + 1
-                        for i, x in zip(part.tolist(), np.split(flags, np.cumsum(n)[:-1])):
-                            removed[i] = x
-                    least = pack.ids[cut[3][stands]]
-                    for i, g in enumerate(group.tolist()):
-                        n = cut[2][i] - cut[1][i] - length + 1
-                        gone = np.arange(n) if pack.ids[cut[3][i]] > least[g] else np.flatnonzero(removed[g])
-                        np.add.at(edge, cut[1][i] + gone, 1)
-                        np.add.at(edge, cut[1][i] + gone + length, -1)
+                    first, last = _removed_pieces(pack, opened, by_piece, buckets, length)
+                    np.add.at(edge, first, 1)
+                    np.add.at(edge, last, -1)
                 gone = np.cumsum(edge)[:-1] > 0
                 n_removed, n_spans, sha, texts = [], [], [], []
                 for a, b in zip(np.concatenate([[0], at[:-1]]).tolist(), at.tolist()):
