@@ -12,6 +12,7 @@ rows of an equal doc_id are all kept, ordered by their ids' bytes; an empty tabl
 from __future__ import annotations
 
 import json
+import re
 import zlib
 
 import numpy as np
@@ -27,8 +28,10 @@ NULL_ID = -(2**63)
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Texts with a character from here on go to the library whole: letter classes below are the same in all Unicode versions in use.
 PLAIN_BELOW = "Ԁ"
-#: Distinct pre-tokens that a worker remembers; beyond it begins anew.
-MEMORY = 400_000
+#: Distinct parts that a worker remembers; beyond it begins anew.
+MEMORY = 900_000
+#: Documents that are encoded at a time.
+SLICE = 1_000
 
 
 def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -38,8 +41,23 @@ def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
     return (pafs.LocalFileSystem(), uri) if "://" not in uri else pafs.FileSystem.from_uri(uri)
 
 
+#: White space that doesn't stand alone, or is neither a space nor a line break.
+_UNEVEN = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x85", "\xa0")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that the byte-level vocabulary spells each byte with: visible Latin-1 characters themselves, the others from U+0100 on."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(0x100 + k) for k, b in enumerate(hidden)}
+
+
 class Encoder:
-    """Encodes texts with a tokenizers file; the ids of pre-tokens, which byte-level BPE codes one by one, are remembered."""
+    """Encodes texts with a tokenizers file.
+
+    Byte-level BPE codes pre-tokens one by one, and a single space or line break between other characters always begins one. So plain texts
+    are cut there, and the ids of each part, which the library has coded once, are remembered.
+    """
 
     def __init__(self, path: str, end_id: int, dtype: str):
         import regex
@@ -50,28 +68,59 @@ class Encoder:
         kind = json.loads(self.tokenizer.to_str())
         byte_level = kind["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and not kind["normalizer"]
         self.split = regex.compile(PRETOKEN).findall if byte_level else None
-        self.beyond = regex.compile(f"[^\\x00-{chr(ord(PLAIN_BELOW) - 1)}]").search
+        self.foreign = re.compile(f"[{PLAIN_BELOW}-\U0010ffff]").search
+        self.model = self.tokenizer.model
+        self.letter_of = _byte_letters()
         self.dtype, self.end = dtype, np.array([end_id], dtype).tobytes()
-        self.known: dict[str, bytes] = {}
+        self.line = self.whole("\n")
+        #: ids of parts after a space, and of parts at the start of a line
+        self.inner: dict[str, bytes] = {}
+        self.first: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def plain(self, text: str) -> bool:
+        """Whether text may be cut at spaces and line breaks: each stands alone between other characters."""
+        odd = text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _UNEVEN) or self.foreign(text)
+        return not odd
+
+    def word(self, pretoken: str) -> bytes:
+        """The ids of one pre-token, by the library's model."""
+        tokens = self.model.tokenize(pretoken.encode().decode("latin-1").translate(self.letter_of))
+        return np.array([t.id for t in tokens], self.dtype).tobytes()
+
+    def part(self, part: str) -> bytes:
+        word = self.word
+        if part.isalpha() or part[:1] == " " and part[1:].isalpha():  # letters are one pre-token
+            return word(part)
+        return b"".join([word(w) for w in self.split(part)])
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text with the end id, as bytes."""
+        if len(self.inner) + len(self.first) > MEMORY:
+            self.inner, self.first = {}, {}
+        lines = [[line.split(" ") for line in t.split("\n")] if t and self.split and self.plain(t) else None for t in texts]
+        inner, first = set(), set()
+        for text in lines:
+            for line in text or ():
+                first.add(line[0])
+                inner.update(line[1:])
+        rest, begin = self.inner, self.first
+        for w in inner.difference(rest):
+            rest[w] = self.part(" " + w)
+        for w in first.difference(begin):
+            begin[w] = self.part(w)
+        out = []
+        for text, cut in zip(texts, lines):
+            if cut is None:
+                out.append((self.whole(text) if text else b"") + self.end)
+            else:
+                out.append(self.line.join([begin[line[0]] + b"".join([rest[w] for w in line[1:]]) for line in cut]) + self.end)
+        return out
+
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return self.end
-        if self.split is None or self.beyond(text):
-            return self.whole(text) + self.end
-        known, words = self.known, self.split(text)
-        try:
-            return b"".join([known[w] for w in words]) + self.end
-        except KeyError:
-            if len(known) > MEMORY:
-                known.clear()
-            fresh = list({w for w in words if w not in known})
-            for w, e in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False)):
-                known[w] = np.array(e.ids, self.dtype).tobytes()
-            return b"".join([known[w] for w in words]) + self.end
+        return self.encode_all([text])[0]
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, vocabulary: int = 50_257, docs_per_shard: int = 50_000) -> dict:
@@ -92,10 +141,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
 
     def encode(batches):
         encoder = Encoder(tokenizer, end_id, dtype)
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             ids = [NULL_ID if x is None else x for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.searchsorted(bounds, np.array(ids, np.int64), side="left"), pa.int32()), pa.array(ids, pa.int64()), pa.array([encoder.encode(t) for t in batch.column(1).to_pylist()], pa.binary())],
+                [pa.array(np.searchsorted(bounds, np.array(ids, np.int64), side="left"), pa.int32()), pa.array(ids, pa.int64()), pa.array(encoder.encode_all(batch.column(1).to_pylist()), pa.binary())],
                 names=["shard", "doc_id", "ids"],
             )
 
