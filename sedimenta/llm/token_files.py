@@ -11,9 +11,11 @@ rows of an equal doc_id are all kept, ordered by their ids' bytes; an empty tabl
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +73,7 @@ class Encoder:
         self.foreign = re.compile(f"[{PLAIN_BELOW}-\U0010ffff]").search
         self.model = self.tokenizer.model
         self.letter_of = _byte_letters()
+        self.code = "H" if dtype == "<u2" else "I"
         self.dtype, self.end = dtype, np.array([end_id], dtype).tobytes()
         self.line = self.whole("\n")
         #: ids of parts after a space, and of parts at the start of a line
@@ -88,13 +91,19 @@ class Encoder:
     def word(self, pretoken: str) -> bytes:
         """The ids of one pre-token, by the library's model."""
         tokens = self.model.tokenize(pretoken.encode().decode("latin-1").translate(self.letter_of))
-        return np.array([t.id for t in tokens], self.dtype).tobytes()
+        return array(self.code, [t.id for t in tokens]).tobytes()
 
     def part(self, part: str) -> bytes:
-        word = self.word
+        """The ids of a part; what it shares with others, such as a mark after a word, is remembered on its own."""
         if part.isalpha() or part[:1] == " " and part[1:].isalpha():  # letters are one pre-token
-            return word(part)
-        return b"".join([word(w) for w in self.split(part)])
+            return self.word(part)
+        out = []
+        for w in self.split(part):
+            memory, key = (self.inner, w[1:]) if w[0] == " " else (self.first, w)
+            if (ids := memory.get(key)) is None:
+                ids = memory[key] = self.word(w)
+            out.append(ids)
+        return b"".join(out)
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text with the end id, as bytes."""
@@ -141,12 +150,14 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
 
     def encode(batches):
         encoder = Encoder(tokenizer, end_id, dtype)
+        gc.disable()  # nothing here is cyclic, and the remembered parts would be walked again and again
         for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             ids = [NULL_ID if x is None else x for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.searchsorted(bounds, np.array(ids, np.int64), side="left"), pa.int32()), pa.array(ids, pa.int64()), pa.array(encoder.encode_all(batch.column(1).to_pylist()), pa.binary())],
                 names=["shard", "doc_id", "ids"],
             )
+        gc.enable()
 
     def write(batches):
         from pyspark import TaskContext
