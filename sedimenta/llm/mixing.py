@@ -85,13 +85,13 @@ def mix(docs: DataFrame, limit: float | None = LIMIT, entropy: float | None = No
     """
     count = F.coalesce((tokens if tokens is not None else F.octet_length(F.col("text").cast("binary"))).cast("long"), F.lit(0).cast("long"))
     added = {"n_tokens", "pass", "block", "place"}
-    base = docs.select(*[c for c in docs.columns if c not in added], count.alias("n_tokens"))
-    identity = F.xxhash64(F.lit(seed), "doc_id", "text")
+    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
+    base = docs.select(kept.alias("row"), "source", count.alias("n_tokens"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("identity"))
     sizes = scratch.save(base.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")), "mixing-sources")
     plan = scratch.save(with_budgets(sizes, bisect_exponent(sizes, limit, entropy)).withColumn("blocks", F.ceil(F.col("docs") / block_docs).cast("int")), "mixing-plan")
     same = lambda a, b: a.eqNullSafe(b)
     mine = plan.select(F.col("source").alias("of"), "whole", "rest", "blocks")
-    own = base.withColumn("identity", identity).join(mine, same(F.col("source"), F.col("of"))).drop("of")
+    own = base.join(mine, same(F.col("source"), F.col("of"))).drop("of")
     own = own.withColumn("block", F.pmod(F.xxhash64("identity"), F.col("blocks")).cast("int"))
     order = lambda n, *c: F.xxhash64(F.lit(seed + 1), n, *c)
     # the partial pass: blocks in its order while they fit, by running sums over blocks; documents only in the block where the budget ends
@@ -113,8 +113,7 @@ def mix(docs: DataFrame, limit: float | None = LIMIT, entropy: float | None = No
     marked = own.join(in_block, same(F.col("source"), F.col("of")) & (F.col("block") == F.col("of_block")), "left").join(one_by_one, same(F.col("source"), F.col("of2")) & (F.col("identity") == F.col("of_identity")), "left")
     passes = F.col("whole") + F.when((F.col("rest") > 0) & (F.col("whole_block").isNotNull() | F.col("one").isNotNull()), 1).otherwise(0)
     out = marked.withColumn("pass", F.explode(F.sequence(F.lit(1), passes)))
-    kept = [c for c in docs.columns if c not in added]
-    return out.select(*kept, "n_tokens", "pass", order("pass", "block").alias("block"), order("pass", "identity").alias("place"))
+    return out.select("row.*", "n_tokens", "pass", order("pass", "block").alias("block"), order("pass", "identity").alias("place"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

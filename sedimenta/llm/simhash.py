@@ -114,11 +114,12 @@ def one_of_each(docs: DataFrame, radius: int = 2) -> DataFrame:
     marked = near_duplicates(docs, radius)
     best = marked.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("nameless")).agg(F.min(F.struct(F.coalesce(F.col("doc_id") != F.col("component_id"), F.lit(True)), "doc_id", "text_hash")).alias("b"))
     chosen = scratch.save(best.select(F.col("b.doc_id").alias("of_id"), F.col("b.text_hash").alias("of_hash")), "simhash-chosen")
-    out = docs.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("of_id")) & (F.xxhash64("text") == F.col("of_hash")), "left_semi")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    out = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")), "left_semi")
     again = marked.join(chosen, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")), "left_semi")
     if again.count() > chosen.count():  # rows that are repeated as they are
-        out = out.dropDuplicates(["doc_id", "text"])
-    return out
+        out = out.dropDuplicates(["doc_id", "text_hash"])
+    return out.select("row.*")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sedimenta.llm import scratch
 from sedimenta.llm.suffix_array import suffix_array
@@ -480,7 +481,8 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, with_text: bo
     answered = scratch.save(packs.mapInArrow(send_runs, _SENT).groupBy("bucket").applyInArrow(answer_runs, _SENT), "repeats-runs", "none")
     with_runs = packs.join(by_pack(answered, "runs"), "pack_id", "left")
     pieces = scratch.save(with_runs.mapInArrow(send_pieces, _SENT).groupBy("bucket").applyInArrow(answer_pieces, _SENT), "repeats-pieces", "none")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", kept string" * with_text
+    fields = [T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()))]
+    schema = T.StructType(fields + [docs.schema[c] for c in keep] + [T.StructField("kept", T.StringType())] * with_text)
     return with_runs.join(by_pack(pieces, "pieces"), "pack_id", "left").mapInArrow(finish, schema)
 
 

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LENGTHS = (3, 4, 5)
 PLACES = 20
@@ -105,16 +106,16 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
     return places, weights[places], intercept
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, score) of docs, then the columns of keep."""
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], whole_rows: bool = False) -> DataFrame:
+    """(doc_id, score) of docs; with whole_rows also row, a struct of all columns of docs."""
     places, values, intercept = model
-    names = [c for c in keep or [] if c != "doc_id"]
+    row = T.StructType([f for f in docs.schema.fields if whole_rows or f.name == "text"])
 
     def run(batches):
         weights, kept = np.zeros(len(LENGTHS) << PLACES), np.zeros(len(LENGTHS) << PLACES, bool)
         weights[places], kept[places] = values, True
         for batch in batches:
-            texts = [t.as_buffer() or b"" for t in batch.column(1)]
+            texts = [t.as_buffer() or b"" for t in batch.column(1).field("text").cast(pa.binary())]
             ends = np.cumsum([len(t) for t in texts])
             total = np.full(len(texts), intercept)
             for a in range(0, len(texts), 256):
@@ -123,10 +124,10 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep: li
                     doc, place = hits(part, ends[a : a + 256] - (ends[a - 1] if a else 0), kept)
                     total[a : a + 256] += np.bincount(doc, weights[place], min(256, len(texts) - a))
             out = 1 / (1 + np.exp(-np.clip(total, -40, 40)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out), *[batch.column(2 + i) for i in range(len(names))]], names=["doc_id", "score", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out), *[batch.column(1)] * whole_rows], names=["doc_id", "score", *["row"] * whole_rows])
 
-    schema = "doc_id long, score double" + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("scored text"), *[f"`{c}`" for c in names]).mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType())] + [T.StructField("row", row)] * whole_rows)
+    return docs.select(F.col("doc_id").cast("long"), F.struct(*[F.col(f"`{f.name}`") for f in row.fields]).alias("row")).mapInArrow(run, schema)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
