@@ -15,7 +15,7 @@ from sedimenta.llm import mixing, packing, scratch, simhash, substring_dedup, to
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.5."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, [c for c in docs.columns if c != "score"]).where("score < 0.5").select(*docs.columns)
+    return toxicity.score(docs, model, whole_rows=True).where("score < 0.5").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,15 +25,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of 50 bytes that an earlier document has; documents of which nothing is left go."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    cut = substring_dedup.remove_repeats(docs, others, with_text=True)
-    left = cut.where((F.col("n_bytes") == 0) | (F.length("kept") > 0)).withColumnsRenamed({"kept": "text"})
-    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest")
+    cut = substring_dedup.remove_repeats(docs.select("doc_id", "text", rest), ["rest"], with_text=True)
+    left = cut.where((F.col("n_bytes") == 0) | (F.length("kept") > 0))
+    new = {"text": F.when(F.col("n_bytes") > 0, F.col("kept")).otherwise(F.lit("")), "n_chars": F.length("kept").cast("long")}
+    return left.select(*[new[c].alias(c) if c in new else F.col(f"rest.`{c}`") for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document once for each pass over its source."""
-    return mixing.mix(docs).select(*docs.columns)
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all"), "doc_id", "text", "source")
+    return mixing.mix(named).select("all.*")
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
