@@ -53,20 +53,28 @@ def simhash(b: bytes, most: int = 8192) -> int:
     return int(sum(1 << k for k in np.flatnonzero(2 * ones >= len(grams)).tolist()))
 
 
-def features_of(df, content: str = "content", probe: int = PROBE_BYTES):
-    """df with entropy, uniq, motif_score, pi_sig and pi_hash64 (bits as a long) of the first probe bytes of content (binary)."""
+#: Features by name: their kernel and SQL type. A fingerprint's bits are a signed long.
+FEATURES = {"entropy": (entropy, "double"), "uniq": (distinct_pairs, "double"), "motif_score": (motif_score, "double"), "pi_sig": (signature, "array<bigint>"), "pi_hash64": (lambda b: _signed(simhash(b)), "bigint")}
+
+
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
+def features_of(df, wanted=tuple(FEATURES), content: str = "content", probe: int = PROBE_BYTES):
+    """df with the wanted features, and no others computed, of the first probe bytes of content (binary)."""
     import pyarrow as pa
     from pyspark.sql import functions as F
 
+    arrow = {"double": pa.float64(), "array<bigint>": pa.list_(pa.int64()), "bigint": pa.int64()}
+    chosen = [(n, *FEATURES[n]) for n in wanted]
+    names = [c for c in df.columns if c != content]
+
     def run(batches):
         for batch in batches:
-            at = batch.schema.names.index("probe")
-            heads = [b or b"" for b in batch.column(at).to_pylist()]
-            bits = [simhash(b) for b in heads]
-            made = [pa.array([f(b) for b in heads], pa.float64()) for f in (entropy, distinct_pairs, motif_score)]
-            made += [pa.array([signature(b) for b in heads], pa.list_(pa.int64())), pa.array([x - (1 << 64) if x >> 63 else x for x in bits], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *made], names=[*names, "entropy", "uniq", "motif_score", "pi_sig", "pi_hash64"])
+            heads = [b or b"" for b in batch.column(len(names)).to_pylist()]
+            made = [pa.array([f(b) for b in heads], arrow[kind]) for _, f, kind in chosen]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *made], names=[*names, *[n for n, _, _ in chosen]])
 
-    names = [c for c in df.columns if c != content]
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
-    return df.select(*names, F.substring(content, 1, probe).alias("probe")).mapInArrow(run, schema + ", entropy double, uniq double, motif_score double, pi_sig array<bigint>, pi_hash64 bigint")
+    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names] + [f"{n} {kind}" for n, _, kind in chosen])
+    return df.select(*names, F.substring(content, 1, probe).alias("probe")).mapInArrow(run, schema)

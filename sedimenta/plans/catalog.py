@@ -177,8 +177,8 @@ def container_sniff(spark, d):
     return _files(spark, d).select("file_index", policy.is_container(F.col("ext"), F.col("content")).alias("is_container"))
 
 
-def _features(spark, d):
-    return kernels.features_of(_files(spark, d).select("file_index", "ext", "raw_size", "content"))
+def _features(spark, d, *wanted):
+    return kernels.features_of(_files(spark, d).select("file_index", "content"), wanted)
 
 
 BYTES = f"bytes AS (SELECT file_index, substr(hx, CAST(2 * i + 1 AS BIGINT), 2) AS b FROM (SELECT file_index, hx, unnest(range(least(raw_size, {C.PROBE_BYTES}))) AS i FROM files))"
@@ -188,20 +188,20 @@ BYTES = f"bytes AS (SELECT file_index, substr(hx, CAST(2 * i + 1 AS BIGINT), 2)
 SELECT f.file_index, round(coalesce(e.entropy, 0.0), 6) AS entropy FROM files f LEFT JOIN (
   SELECT file_index, -sum(p * log2(p)) / 8 AS entropy FROM (SELECT file_index, n / sum(n) OVER (PARTITION BY file_index) AS p FROM (SELECT file_index, b, count(*) AS n FROM bytes GROUP BY 1, 2)) GROUP BY 1) e USING (file_index)""")
 def entropy(spark, d):
-    return _features(spark, d).select("file_index", F.round("entropy", 6).alias("entropy"))
+    return _features(spark, d, "entropy").select("file_index", F.round("entropy", 6).alias("entropy"))
 
 
 @query(_with(FILES) + f"""
 SELECT file_index, CASE WHEN n < 2 THEN 1.0 ELSE round(len(list_distinct([substr(hx, CAST(2 * i + 1 AS BIGINT), 4) FOR i IN range(n - 1)])) / (n - 1), 6) END AS uniq FROM (SELECT *, least(raw_size, {C.PROBE_BYTES}) AS n FROM files)""")
 def uniq_bigram(spark, d):
-    return _features(spark, d).select("file_index", F.round("uniq", 6).alias("uniq"))
+    return _features(spark, d, "uniq").select("file_index", F.round("uniq", 6).alias("uniq"))
 
 
 @query(_with(FILES) + f"""
 SELECT file_index, CASE WHEN n < 64 THEN 0.0 ELSE round(1 - len(list_distinct(w)) / len(w), 6) END AS motif_score
 FROM (SELECT file_index, n, [substr(hx, CAST(8 * i + 1 AS BIGINT), 64) FOR i IN range(CASE WHEN n < 64 THEN 1 ELSE least((n - 32) // 4 + 1, 4096) END)] AS w FROM (SELECT *, least(raw_size, {C.PROBE_BYTES}) AS n FROM files))""")
 def motif_score(spark, d):
-    return _features(spark, d).select("file_index", F.round("motif_score", 6).alias("motif_score"))
+    return _features(spark, d, "motif_score").select("file_index", F.round("motif_score", 6).alias("motif_score"))
 
 
 _ZERO = crc32(bytes(4))
@@ -216,7 +216,7 @@ simhash AS (SELECT file_index, CAST(sum(CASE WHEN up >= 0 THEN 1::BIGINT << k EL
 @query(_with(FILES, SIMHASH) + "SELECT f.file_index, CASE WHEN raw_size = 0 THEN 0 WHEN raw_size < 4 THEN 4294967295 ELSE low END AS low, CASE WHEN raw_size = 0 THEN 0 WHEN raw_size < 4 THEN 4294967295 ELSE high END AS high FROM files f LEFT JOIN simhash USING (file_index)")
 def simhash(spark, d):
     fp = F.col("pi_hash64")
-    return _features(spark, d).select("file_index", fp.bitwiseAND(F.lit(0xFFFFFFFF)).alias("low"), F.shiftrightunsigned(fp, 32).alias("high"))
+    return _features(spark, d, "pi_hash64").select("file_index", fp.bitwiseAND(F.lit(0xFFFFFFFF)).alias("low"), F.shiftrightunsigned(fp, 32).alias("high"))
 
 
 _SIG = "[substr(hx, CAST(16 * i + 1 AS BIGINT), 64) FOR i IN range(CASE WHEN raw_size < 32 THEN 0 ELSE least((raw_size - 32) // 8 + 1, 512) END)]"
@@ -226,7 +226,7 @@ _SIG = "[substr(hx, CAST(16 * i + 1 AS BIGINT), 64) FOR i IN range(CASE WHEN raw
 SELECT a.file_index, round(CASE WHEN len(a.s) = 0 OR len(b.s) = 0 THEN 0.0 ELSE len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) END, 6) AS similarity
 FROM (SELECT file_index, list_distinct({_SIG}) AS s FROM files) a JOIN (SELECT file_index, list_distinct({_SIG}) AS s FROM files) b ON b.file_index = a.file_index - a.file_index % 10""")
 def pi_signature_jaccard(spark, d):
-    f = _features(spark, d).select("file_index", "pi_sig")
+    f = _features(spark, d, "pi_sig")
     base = f.where("file_index % 10 = 0").select(F.col("file_index").alias("base_index"), F.col("pi_sig").alias("base_sig"))
     return f.join(base, F.col("base_index") == F.col("file_index") - F.col("file_index") % 10).select("file_index", F.round(similarity.jaccard("pi_sig", "base_sig"), 6).alias("similarity"))
 
@@ -246,6 +246,13 @@ def top_motifs(spark, d):
     return _files(spark, d).select("file_index", "content").mapInArrow(run, "file_index long, motif string, n long, pos long, rank long")
 
 
+@query()
+def feature_rows(spark, d):
+    """All features of each file, as the planner takes them."""
+    f = kernels.features_of(_files(spark, d).select("file_index", "ext", "raw_size", "content"))
+    return f.select("file_index", "ext", "raw_size", policy.file_class(F.col("ext")).alias("class_tag"), "entropy", "uniq", "motif_score", F.size("pi_sig").alias("windows"), "pi_hash64")
+
+
 # ---- similarity search; fingerprints from SHA-256, which both engines have
 
 FP = "fps AS (SELECT file_index, ext, CAST('0x' || substr(sha256(text), 1, 8) AS BIGINT) AS hi, CAST('0x' || substr(sha256(text), 9, 8) AS BIGINT) AS lo FROM files)"
