@@ -110,22 +110,24 @@ class Encoder:
         if len(self.inner) + len(self.first) > MEMORY:
             self.inner, self.first = {}, {}
         lines = [[line.split(" ") for line in t.split("\n")] if t and self.split and self.plain(t) else None for t in texts]
+        heads = [[line[0] for line in cut or ()] for cut in lines]
         inner, first = set(), set()
         for text in lines:
             for line in text or ():
-                first.add(line[0])
-                inner.update(line[1:])
+                first.add(line.pop(0))
+                inner.update(line)
         rest, begin = self.inner, self.first
         for w in inner.difference(rest):
             rest[w] = self.part(" " + w)
         for w in first.difference(begin):
             begin[w] = self.part(w)
         out = []
-        for text, cut in zip(texts, lines):
+        ids_of = rest.__getitem__
+        for text, cut, head in zip(texts, lines, heads):
             if cut is None:
                 out.append((self.whole(text) if text else b"") + self.end)
             else:
-                out.append(self.line.join([begin[line[0]] + b"".join([rest[w] for w in line[1:]]) for line in cut]) + self.end)
+                out.append(self.line.join([begin[h] + b"".join(map(ids_of, line)) for h, line in zip(head, cut)]) + self.end)
         return out
 
     def encode(self, text: str | None) -> bytes:
