@@ -131,10 +131,7 @@ def path_sort_index(spark, d):
 @query(_with(FILES) + "SELECT file_index, substr(path, length(split_part(path, '/', 1)) + 2) AS below_lang, path AS outside FROM files")
 def relative_paths(spark, d):
     f = _files(spark, d).select("file_index", "path")
-    tops = [r.lang for r in sources.table(spark, d, "documents").select("lang").distinct().limit(64).collect()]
-    below = F.col("path")
-    for top in tops:
-        below = F.when(F.startswith("path", F.lit(top + "/")), sources.relative_path("path", top)).otherwise(below)
+    below = sources.relative_path("path", F.element_at(F.split("path", "/"), 1))
     return f.select("file_index", below.alias("below_lang"), sources.relative_path("path", "nowhere").alias("outside"))
 
 

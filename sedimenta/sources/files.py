@@ -66,8 +66,8 @@ def extension(path: str):
     return F.lower(F.regexp_extract(F.regexp_extract(path, "([^/]*)$", 1), r"^.+\.([^.]+)$", 1))
 
 
-def relative_path(path: str, root: str):
-    """Below root with forward slashes; a path that isn't below root stays as it is."""
+def relative_path(path: str, root):
+    """Below root (a string or column) with forward slashes; a path that isn't below root stays as it is."""
     slashed = F.translate(F.col(path), "\\", "/")
-    top = root.replace("\\", "/").rstrip("/") + "/"
-    return F.when(slashed.startswith(top), F.substring(slashed, len(top) + 1, 2**31 - 1)).otherwise(slashed)
+    top = F.concat(F.regexp_replace(F.translate(F.lit(root) if isinstance(root, str) else root, "\\", "/"), "/+$", ""), F.lit("/"))
+    return F.when(F.startswith(slashed, top), F.substr(slashed, F.length(top) + 1)).otherwise(slashed)

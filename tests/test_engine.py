@@ -77,7 +77,7 @@ def test_dedupe_and_verify(spark):
 
 def test_container_round_trip(spark, tmp_path):
     f = _files(spark, [b"a" * 100, b"", b"b" * 50 + b"a" * 100])
-    target = f"{tmp_path}/x.czp"
+    target = f"{tmp_path}/x.archive"
     container.write(archive.build(f, 64), target)
     back = container.read(spark, target)
     assert all(r.ok for r in archive.verify(back).collect())
