@@ -3,7 +3,8 @@
 Distinct vectors are nodes. The neighbour graph starts from random projections: for each of some tables, nodes are sorted by the signs of
 projections and cut into short blocks, in which each node takes its nearest. Then, round by round, the neighbours of a node, in either
 direction, are held against each other, and each keeps the best it met, until rounds change little. Edges beyond twice the link's angle
-are left out: no path of two links needs them. Edges at the threshold give components. A list that is full of links is
+are left out: no path of two links needs them. Links give components: all those that are met in any block or round, as the stars of what they
+join there, and not only those that the lists of nearest hold, which closer mates can fill. A list that is full of links is
 saturated: it is enlarged to all nodes of its component, which are compared chunk against chunk, so that its links are counted whole. A
 bounded sample of nodes is held against all; while the recall of links falls short, further tables are added.
 
@@ -50,12 +51,30 @@ def _vectors(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, "vec_id long, unit binary, key binary")
 
 
-def _edges(u: np.ndarray, v: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(sim, pa.float64())], names=["u", "v", "sim"])
+def _edges(u: np.ndarray, v: np.ndarray, sim: np.ndarray | pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), sim if isinstance(sim, pa.Array) else pa.array(sim, pa.float64())], names=["u", "v", "sim"])
 
 
-def _nearest(ids: np.ndarray, units: list[bytes], floor: float, k: int):
-    """Edges from each of some nodes to its k nearest among them, at floor or above."""
+def _joined(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a symmetric matrix of links, and the least place that each reaches by links, for those that reach a lesser one."""
+    own = np.flatnonzero(linked.any(axis=1))
+    if not len(own):
+        return own, own
+    inner = linked[np.ix_(own, own)]
+    np.fill_diagonal(inner, True)
+    least = np.arange(len(own), dtype=np.int32)
+    while True:
+        after = np.where(inner, least[None, :], len(own)).min(axis=1)
+        after = after[after]
+        if (after == least).all():
+            break
+        least = after
+    far = least < np.arange(len(own))
+    return own[far], own[least[far]]
+
+
+def _nearest(ids: np.ndarray, units: list[bytes], floor: float, k: int, link: float):
+    """Edges from each of some nodes to its k nearest among them, at floor or above; then stars of all nodes that links join, with a null sim."""
     sizes = np.array([len(x) for x in units])
     for size in np.unique(sizes):
         own = np.flatnonzero(sizes == size)
@@ -73,9 +92,12 @@ def _nearest(ids: np.ndarray, units: list[bytes], floor: float, k: int):
         good = sim[a, b] >= floor
         if good.any():
             yield _edges(ids[own[a[good]]], ids[own[b[good]]], sim[a[good], b[good]])
+            a, b = _joined(sim >= link)
+            if len(a):
+                yield _edges(ids[own[a]], ids[own[b]], pa.nulls(len(a), pa.float64()))
 
 
-def projected(nodes: DataFrame, tables: range, floor: float, k: int = NEIGHBOURS, bits: int = BITS, block: int = BLOCK) -> DataFrame:
+def projected(nodes: DataFrame, tables: range, floor: float, link: float, k: int = NEIGHBOURS, bits: int = BITS, block: int = BLOCK) -> DataFrame:
     """Edges within the blocks of each table; nodes (id, unit)."""
 
     def place(batches):
@@ -100,28 +122,33 @@ def projected(nodes: DataFrame, tables: range, floor: float, k: int = NEIGHBOURS
         for batch in batches:
             for t, i, x in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
                 if ids and (t != table or len(ids) >= block):
-                    yield from _nearest(np.array(ids), units, floor, k)
+                    yield from _nearest(np.array(ids), units, floor, k, link)
                     ids, units = [], []
                 table = t
                 ids.append(i)
                 units.append(x)
         if ids:
-            yield from _nearest(np.array(ids), units, floor, k)
+            yield from _nearest(np.array(ids), units, floor, k, link)
 
     placed = nodes.select("id", "unit").mapInArrow(place, "t int, code long, at double, id long, unit binary")
     return placed.repartitionByRange("t", "code", "at").sortWithinPartitions("t", "code", "at", "id").mapInArrow(meet, _EDGE)
 
 
 def _lists(edges: DataFrame, k: int) -> DataFrame:
-    """(u, near): the k best of each node's edges; a node has a bounded number of them per table or round."""
-    return edges.groupBy("u").agg(F.slice(F.sort_array(F.collect_set(F.struct("sim", "v")), asc=False), 1, k).alias("near"))
+    """(u, near, joined): the k best of each node's edges, and the centres of its stars; a node has a bounded number of both per table or round."""
+    near = F.collect_set(F.when(F.col("sim").isNotNull(), F.struct("sim", "v")))
+    return edges.groupBy("u").agg(F.slice(F.sort_array(near, asc=False), 1, k).alias("near"), F.collect_set(F.when(F.col("sim").isNull(), F.col("v"))).alias("joined"))
 
 
 def _flat(lists: DataFrame) -> DataFrame:
     return lists.select("u", F.explode("near").alias("e")).select("u", F.col("e.v").alias("v"), F.col("e.sim").alias("sim"))
 
 
-def refined(lists: DataFrame, nodes: DataFrame, floor: float, k: int = NEIGHBOURS, crowd: int = 128) -> DataFrame:
+def _stars(lists: DataFrame) -> DataFrame:
+    return lists.select("u", F.explode("joined").alias("v")).select("u", "v", F.lit(None).cast("double").alias("sim"))
+
+
+def refined(lists: DataFrame, nodes: DataFrame, floor: float, link: float, k: int = NEIGHBOURS, crowd: int = 128) -> DataFrame:
     """One round's edges: those of each node, old and met at a common neighbour."""
 
     def join(batches):
@@ -129,31 +156,31 @@ def refined(lists: DataFrame, nodes: DataFrame, floor: float, k: int = NEIGHBOUR
         for batch in batches:
             for u, v, x in zip(*[batch.column(i).to_pylist() for i in range(3)]):
                 if ids and (u != center or len(ids) >= crowd):
-                    yield from _nearest(np.array(ids), units, floor, k)
+                    yield from _nearest(np.array(ids), units, floor, k, link)
                     ids, units = [], []
                 center = u
                 ids.append(v)
                 units.append(x)
         if ids:
-            yield from _nearest(np.array(ids), units, floor, k)
+            yield from _nearest(np.array(ids), units, floor, k, link)
 
     ways = _flat(lists).select("u", "v")
     both = ways.unionByName(ways.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     around = both.join(nodes.select(F.col("id").alias("v"), "unit"), "v").select("u", "v", "unit")
     met = around.repartition("u").sortWithinPartitions("u", F.xxhash64("v")).mapInArrow(join, _EDGE)
-    return _flat(lists).unionByName(met)
+    return _flat(lists).unionByName(_stars(lists)).unionByName(met)
 
 
-def neighbour_graph(nodes: DataFrame, tables: range, floor: float, before: DataFrame | None = None) -> DataFrame:
-    """Lists (u, near) after NN-descent from the tables' blocks and, if given, earlier lists."""
-    start = projected(nodes, tables, floor)
-    lists = scratch.save(_lists(start if before is None else start.unionByName(_flat(before)), NEIGHBOURS), "nn-lists")
+def neighbour_graph(nodes: DataFrame, tables: range, floor: float, link: float, before: DataFrame | None = None) -> DataFrame:
+    """Lists (u, near, joined) after NN-descent from the tables' blocks and, if given, earlier lists."""
+    start = projected(nodes, tables, floor, link)
+    lists = scratch.save(_lists(start if before is None else start.unionByName(_flat(before)).unionByName(_stars(before)), NEIGHBOURS), "nn-lists")
     measure = lambda t: t.agg(F.coalesce(F.sum(F.size("near")), F.lit(0)), F.coalesce(F.sum(F.aggregate("near", F.lit(0.0), lambda a, e: a + e["sim"])), F.lit(0.0))).first()
     size, total = measure(lists)
     for _ in range(ROUNDS):
         if not size:
             break
-        after = scratch.save(_lists(refined(lists, nodes, floor), NEIGHBOURS), "nn-lists")
+        after = scratch.save(_lists(refined(lists, nodes, floor, link), NEIGHBOURS), "nn-lists")
         new_size, new_total = measure(after)
         scratch.drop(lists)
         lists = after
@@ -228,8 +255,8 @@ def near_duplicates(vectors: DataFrame, link: float = LINK) -> DataFrame:
     floor = 2 * link * link - 1
     lists, recall, parts = None, 0.0, None
     for turn in range(MORE + 1):
-        lists = neighbour_graph(nodes, range(turn * TABLES, (turn + 1) * TABLES), floor, lists)
-        parts = scratch.save(graph.components(_flat(lists).where(F.col("sim") >= link), "nn-parts"), "nn-parts")
+        lists = neighbour_graph(nodes, range(turn * TABLES, (turn + 1) * TABLES), floor, link, lists)
+        parts = scratch.save(graph.components(_flat(lists).where(F.col("sim") >= link).unionByName(_stars(lists)), "nn-parts"), "nn-parts")
         recall = audit_recall(nodes, parts, link)
         if recall >= RECALL:
             break

@@ -356,6 +356,16 @@ def test_saturated_lists_are_counted_whole(spark):
     assert {(r.n_links, r.component_id) for r in nn_descent.near_duplicates(df).collect()} == {(599, 0)}
 
 
+def test_links_between_saturated_groups(spark):
+    rng = np.random.default_rng(7)
+    c = rng.standard_normal((2, 32))
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    c[1] -= c[0] * (c[0] @ c[1])
+    c[1] = 0.97 * c[0] + np.sqrt(1 - 0.97**2) * c[1] / np.linalg.norm(c[1])
+    df = spark.createDataFrame([(i, (c[i % 2] + rng.standard_normal(32) * 0.003).tolist()) for i in range(40)], "vec_id long, embedding array<double>")
+    assert {(r.n_links, r.component_id) for r in nn_descent.near_duplicates(df).collect()} == {(39, 0)}
+
+
 # 9
 
 
