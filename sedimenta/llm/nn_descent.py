@@ -6,7 +6,8 @@ direction, are held against each other, and each keeps the best it met, until ro
 are left out: no path of two links needs them. Links give components: all those that are met in any block or round, as the stars of what they
 join there, and not only those that the lists of nearest hold, which closer mates can fill. A list that is full of links is
 saturated: it is enlarged to all nodes of its component, which are compared chunk against chunk, so that its links are counted whole. A
-bounded sample of nodes is held against all; while the recall of links falls short, further tables are added.
+sample of nodes is held against all, which grows until it has seen a stated number of links or is all nodes. While the recall of links falls short, further
+tables are added, and at last all nodes are held against all, so that no link is missed; links found on the way are kept.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components have no links and are their own component; vectors of different sizes
 never link; equal vectors are one node and link with each other; a null vec_id is kept and never is a component's id unless it has no other;
@@ -15,6 +16,8 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +30,12 @@ TABLES, BITS, BLOCK, NEIGHBOURS, ROUNDS = 8, 12, 512, 12, 4
 #: Rounds end when they improve less than this share of all lists' entries.
 STILL = 0.01
 CHUNK = 256
-#: Nodes of the audit, its least recall, and how often tables may be added.
-AUDIT, RECALL, MORE = 256, 0.98, 3
+#: Nodes up to which TABLES are enough; with 16 and 61 times as many there are 2 and 2.8 times the tables.
+PER_TABLE = 65_536
+#: Nodes of the audit's first slice and of its largest, links that it must see, and rows of one product.
+AUDIT, SLICE, SEEN, BRUTE = 256, 16_384, 1000, 2048
+#: The least recall, and how often tables are added before all nodes are held against all.
+RECALL, MORE = 0.98, 3
 _EDGE = "u long, v long, sim double"
 
 
@@ -222,29 +229,75 @@ def component_links(nodes: DataFrame, parts: DataFrame, link: float) -> DataFram
     return meetings.select("sides").mapInArrow(count, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def audit_recall(nodes: DataFrame, parts: DataFrame, link: float, sample: int = AUDIT) -> float:
-    """The share of links of a bounded sample of nodes, by brute force over all, that lie within a component."""
-    asked = nodes.select("id", "unit").orderBy(F.xxhash64("id"), "id").limit(sample).collect()
-    queries = [(r.id, bytes(r.unit)) for r in asked]
+def audited(nodes: DataFrame, parts: DataFrame, link: float, low: float, high: float) -> DataFrame:
+    """(u, v, links, same): the links of the nodes whose place in a fixed shuffle is in [low, high), by brute force over all nodes.
+
+    A row with null ends counts a batch's links and those within a component; the other rows are stars of the links between components.
+    The nodes asked go to the driver and to all tasks.
+    """
+    placed = nodes.select("id", "unit").join(parts.withColumnRenamed("node", "id"), "id", "left").select("id", "unit", F.coalesce("component", "id").alias("component"))
+    at = F.pmod(F.xxhash64("id"), F.lit(1 << 31)) / float(1 << 31)
+    asked = placed.where((at >= low) & (at < high)).toArrow()
+    q_ids, q_units, q_parts = asked.column(0).to_numpy(), asked.column(1).to_pylist(), asked.column(2).to_numpy()
+    sizes = np.array([len(x) for x in q_units])
+    queries = []
+    for size in np.unique(sizes):
+        own = np.flatnonzero(sizes == size)
+        queries.append((int(size), q_ids[own], q_parts[own], b"".join([q_units[i] for i in own])))
+    sent = nodes.sparkSession.sparkContext.broadcast(queries)
 
     def brute(batches):
-        sizes = {len(x) for _, x in queries}
         for batch in batches:
-            ids, units = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            for size in sizes:
-                own = [i for i, x in enumerate(units) if len(x) == size]
-                if not own:
-                    continue
-                q = [(i, x) for i, x in queries if len(x) == size]
-                sim = np.frombuffer(b"".join(x for _, x in q), np.float64).reshape(len(q), -1) @ np.frombuffer(b"".join([units[i] for i in own]), np.float64).reshape(len(own), -1).T
-                a, b = np.nonzero(sim >= link)
-                u, v = np.array([i for i, _ in q], np.int64)[a], ids[own][b]
-                yield _edges(u[u != v], v[u != v], sim[a, b][u != v])
-
-    found = nodes.select("id", "unit").mapInArrow(brute, _EDGE)
-    side = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias("of_" + c))
-    all_, same = found.join(side("u"), "u", "left").join(side("v"), "v", "left").agg(F.count("*"), F.count(F.when(F.col("of_u") == F.col("of_v"), 1))).first()
-    return same / all_ if all_ else 1.0
+            ids, units, parts_ = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
+            us, vs, links, same = [], [], 0, 0
+            lengths = np.array([len(x) for x in units])
+            for size, q_id, q_part, q_unit in sent.value:
+                q = np.frombuffer(q_unit, np.float64).reshape(len(q_id), -1)
+                of_size = np.flatnonzero(lengths == size)
+                for i in range(0, len(of_size), CHUNK):
+                    own = of_size[i : i + CHUNK]
+                    x = np.frombuffer(b"".join([units[k] for k in own]), np.float64).reshape(len(own), -1)
+                    for j in range(0, len(q), BRUTE):
+                        a, b = np.nonzero(q[j : j + BRUTE] @ x.T >= link)
+                        u, v, p, r = q_id[j + a], ids[own[b]], q_part[j + a], parts_[own[b]]
+                        links += int((u != v).sum())
+                        same += int(((p == r) & (u != v)).sum())
+                        cross = np.unique(np.stack([p[p != r], r[p != r]]), axis=1)  # components' ids are nodes
+                        us.append(cross[0])
+                        vs.append(cross[1])
+            u, v = (np.unique(np.stack([np.concatenate(us), np.concatenate(vs)]), axis=1) if us else np.zeros((2, 0), np.int64))
+            n = len(u)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([*u.tolist(), None], pa.int64()), pa.array([*v.tolist(), None], pa.int64()), pa.array([0] * n + [links], pa.int64()), pa.array([0] * n + [same], pa.int64())], names=["u", "v", "links", "same"]
+            )
+
+    return scratch.save(placed.mapInArrow(brute, "u long, v long, links long, same long"), "nn-audit")
+
+
+def audit(nodes: DataFrame, parts: DataFrame, link: float, n: int, whole: bool = False) -> tuple[float, list[DataFrame]]:
+    """The share of links that lie within a component, and tables of the links found that don't.
+
+    Nodes are asked slice by slice, each four times the last one, until SEEN links are counted or all nodes have been asked: then, and if whole
+    is set, the result is exact. A slice that goes to the driver holds about SLICE nodes at most.
+    """
+    low, step, links, same, found = 0.0, AUDIT, 0, 0, []
+    while low < 1.0 and (whole or links < SEEN):
+        high = min(1.0, low + min(SLICE if whole else step, SLICE) / max(n, 1))
+        high = 1.0 if high > 0.999 else high
+        table = audited(nodes, parts, link, low, high)
+        more, within, cross = table.agg(F.coalesce(F.sum("links"), F.lit(0)), F.coalesce(F.sum("same"), F.lit(0)), F.count("u")).first()
+        links, same = links + more, same + within
+        if cross:
+            found.append(table.where("u IS NOT NULL").select("u", "v"))
+        else:
+            scratch.drop(table)
+        low, step = high, step * 4
+    return (same / links if links else 1.0), found
+
+
+def tables_for(n: int) -> int:
+    """Tables of projections: blocks hold a smaller share of more nodes, so their number grows."""
+    return math.ceil(TABLES * max(1.0, (n / PER_TABLE) ** 0.25))
 
 
 def near_duplicates(vectors: DataFrame, link: float = LINK) -> DataFrame:
@@ -252,14 +305,28 @@ def near_duplicates(vectors: DataFrame, link: float = LINK) -> DataFrame:
     rows = scratch.save(_vectors(vectors), "nn-vectors")
     classes = rows.where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"), F.first("unit").alias("unit"))
     nodes = scratch.save(classes.withColumn("id", F.monotonically_increasing_id()), "nn-nodes")
-    floor = 2 * link * link - 1
-    lists, recall, parts = None, 0.0, None
+    floor, size = 2 * link * link - 1, nodes.count()
+    tables = tables_for(size)
+    lists, extra = None, []
+
+    def joined(lists: DataFrame) -> DataFrame:
+        edges = _flat(lists).where(F.col("sim") >= link).unionByName(_stars(lists)).select("u", "v")
+        for more in extra:
+            edges = edges.unionByName(more)
+        return scratch.save(graph.components(edges, "nn-parts"), "nn-parts")
+
     for turn in range(MORE + 1):
-        lists = neighbour_graph(nodes, range(turn * TABLES, (turn + 1) * TABLES), floor, link, lists)
-        parts = scratch.save(graph.components(_flat(lists).where(F.col("sim") >= link).unionByName(_stars(lists)), "nn-parts"), "nn-parts")
-        recall = audit_recall(nodes, parts, link)
+        lists = neighbour_graph(nodes, range(turn * tables, (turn + 1) * tables), floor, link, lists)
+        parts = joined(lists)
+        recall, found = audit(nodes, parts, link, size)
+        extra += found
         if recall >= RECALL:
             break
+    else:
+        extra += audit(nodes, parts, link, size, whole=True)[1]
+        found = extra
+    if found:
+        parts = joined(lists)
     links = component_links(nodes, parts, link)
     placed = nodes.select("id", "key", "n", "least").join(parts.withColumnRenamed("node", "id"), "id", "left").join(links, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))

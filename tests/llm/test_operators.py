@@ -366,6 +366,23 @@ def test_links_between_saturated_groups(spark):
     assert {(r.n_links, r.component_id) for r in nn_descent.near_duplicates(df).collect()} == {(39, 0)}
 
 
+def test_few_links_are_found_where_tables_miss_them(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((1500, 64))
+    x[750:770] = x[:20] + rng.standard_normal((20, 64)) * 0.22
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = (unit @ unit.T >= 0.95) & ~np.eye(len(x), dtype=bool)
+    monkeypatch.setattr(nn_descent, "TABLES", 1)
+    monkeypatch.setattr(nn_descent, "MORE", 0)
+    monkeypatch.setattr(nn_descent.projected, "__defaults__", (12, 12, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert linked.sum() > 10 and {r.vec_id: r.n_links for r in nn_descent.near_duplicates(df).collect()} == dict(enumerate(linked.sum(axis=1).tolist()))
+
+
+def test_tables_grow_with_the_vectors():
+    assert [nn_descent.tables_for(n) for n in (0, 20_000, 1 << 20, 4_000_000)] == [8, 8, 16, 23]
+
+
 # 9
 
 
