@@ -19,8 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component, that of the least doc_id."""
-    return simhash.one_of_each(docs).select(*docs.columns)
+    """One document of each component, that of the least doc_id: links are two bits of SimHash, or five-word shingles with Jaccard similarity 0.8."""
+    return simhash.one_of_each(docs, least=0.8).select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

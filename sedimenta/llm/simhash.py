@@ -26,6 +26,8 @@ SEED = 42
 LOW = 0x5555555555555555
 #: Segments of two bits, dealt into this many groups.
 GROUPS = 5
+#: Words of a shingle where texts are compared whole, and places that hashed shingles are counted in, to order them.
+SHINGLE, PLACES = 5, 1 << 18
 #: Cells with more fingerprints are linked through midpoints.
 DENSE = 48
 
@@ -98,20 +100,98 @@ def links(fps: DataFrame, radius: int = 2, dense: int = DENSE) -> DataFrame:
     return pairs.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).unionByName(stars)
 
 
-def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
-    """(doc_id, text_hash, fingerprint, component_id) for each row of docs (doc_id, text)."""
+def shingles(text: bytes | None, width: int = SHINGLE, seed: int = SEED):
+    """The distinct hashes of a text's shingles, in order; of all words, where they are fewer."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    words = (text or b"").lower().split()
+    found = [xxh64_intdigest(b" ".join(words[i : i + width]), seed) for i in range(max(1, len(words) - width + 1))] if words else []
+    return np.unique(np.array(found, "<u8")).view(np.int64)
+
+
+def similar(texts: DataFrame, least: float) -> DataFrame:
+    """(u, v) fingerprints of all pairs of texts (text_hash, text, fp, component) of different components whose shingles have that Jaccard similarity.
+
+    Of two such sets, each has one in common among its first (1 - least) share and one more, in any order that is the same for all. Here
+    the rare come first, by counts of hashed places. Shingles that only one component has are left out; pairs that share one are compared whole.
+    """
+    import numpy as np
+
+    def count(batches):
+        n = np.zeros(PLACES, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                np.add.at(n, shingles(text) & (PLACES - 1), 1)
+        place = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(n[place])], names=["place", "n"])
+
+    counted = texts.select("text").mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    common = np.zeros(PLACES, np.int64)
+    common[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
+    sent = texts.sparkSession.sparkContext.broadcast(common)
+
+    def first(batches):
+        for batch in batches:
+            rows = []
+            for text in batch.column(1).to_pylist():
+                own = shingles(text)
+                often = sent.value[own & (PLACES - 1)]
+                share = np.lexsort((own, often))[: len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1]
+                rows.append((own[share[often[share] > 1]], len(own)))
+            lengths = [len(r) for r, _ in rows]
+            of = pa.array(np.repeat(np.arange(len(rows)), lengths))
+            kept = [batch.column(i).take(of) for i in (0, 2, 3)]
+            token = np.concatenate([r for r, _ in rows]) if rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.repeat(np.array([n for _, n in rows], np.int32), lengths)), pa.array(token, pa.int64())], names=["h", "fp", "component", "n", "token"])
+
+    heads = scratch.save(texts.select("text_hash", "text", "fp", "component").mapInArrow(first, "h long, fp long, component long, n int, token long"), "simhash-heads")
+    mixed = heads.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("token")
+    met = scratch.save(heads.join(mixed, "token"), "simhash-shared")
+    scratch.drop(heads)
+    a, b = met.alias("a"), met.alias("b")
+    differ = (F.col("a.token") == F.col("b.token")) & (F.col("a.component") < F.col("b.component"))
+    sized = (F.col("a.n") >= F.col("b.n") * least - 1e-9) & (F.col("b.n") >= F.col("a.n") * least - 1e-9)
+    pairs = scratch.save(a.join(b, differ & sized).select(F.col("a.h").alias("h"), F.col("b.h").alias("g"), F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).distinct(), "simhash-pairs")
+    scratch.drop(met)
+    text = lambda name: texts.select(F.col("text_hash").alias(name), F.col("text").alias("text_" + name))
+
+    def compare(batches):
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = shingles(x), shingles(y)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= least * (len(x) + len(y) - both) - 1e-9)
+            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    out = scratch.save(pairs.join(text("h"), "h").join(text("g"), "g").select("u", "v", "text_h", "text_g").mapInArrow(compare, "u long, v long").distinct(), "simhash-similar")
+    scratch.drop(pairs)
+    return out
+
+
+def near_duplicates(docs: DataFrame, radius: int = 2, least: float | None = None) -> DataFrame:
+    """(doc_id, text_hash, fingerprint, component_id) for each row of docs (doc_id, text); least also links texts by their shingles' Jaccard similarity."""
     marked = scratch.save(fingerprints(docs), "simhash-fp")
     distinct = scratch.save(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     parts = graph.components(links(distinct.select("fp"), radius), "simhash-parts")
+    if least is not None:
+        parts = scratch.save(parts, "simhash-parts")
+        known = marked.select("text_hash", "fp").distinct().join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("text_hash", "fp", F.coalesce("component", "fp").alias("component"))
+        texts = docs.select(F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text")).dropDuplicates(["text_hash"]).join(known, "text_hash")
+        texts = scratch.save(texts, "simhash-texts")
+        more = similar(texts, least)
+        scratch.drop(texts)
+        parts = graph.components(parts.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), "simhash-parts")
     rooted = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = rooted.groupBy("component").agg(F.min("first").alias("component_id"))
     classes = scratch.save(rooted.join(least, "component").select("fp", "component_id"), "simhash-classes")
     return marked.join(classes, "fp").select("doc_id", "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, radius: int = 2) -> DataFrame:
+def one_of_each(docs: DataFrame, radius: int = 2, least: float | None = None) -> DataFrame:
     """docs (doc_id, text and others) with one row of each component: the one of its least doc_id."""
-    marked = near_duplicates(docs, radius)
+    marked = near_duplicates(docs, radius, least)
     best = marked.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("nameless")).agg(F.min(F.struct(F.coalesce(F.col("doc_id") != F.col("component_id"), F.lit(True)), "doc_id", "text_hash")).alias("b"))
     chosen = scratch.save(best.select(F.col("b.doc_id").alias("of_id"), F.col("b.text_hash").alias("of_hash")), "simhash-chosen")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))

@@ -85,3 +85,23 @@ def test_run_and_empty_corpus(spark, corpus, tmp_path):
     assert corpus_pipeline.run(spark, corpus).count() > 0
     docs = spark.read.parquet(f"{corpus}/documents.parquet").limit(0)
     assert [df.count() for _, df in staged(spark, corpus, docs, tmp_path)] == [0] * 5
+
+
+def test_edited_copies_are_near_duplicates(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(500)]
+    rows = []
+    for i in range(0, 60, 2):
+        text = [rng.choice(words) for _ in range(120)]
+        edited = list(text)
+        for k in rng.sample(range(5, 115), i % 5):
+            edited[k] = "new"
+        rows += [(i, " ".join(text)), (i + 1, " ".join(edited).upper())]
+    shingles = {i: {tuple(t.lower().split()[k : k + 5]) for k in range(116)} for i, t in rows}
+    close = {i for i in range(0, 60, 2) if len(shingles[i] & shingles[i + 1]) >= 0.8 * len(shingles[i] | shingles[i + 1])}
+    fps = {i: brute_fingerprint(t) for i, t in rows}
+    assert any((fps[i] ^ fps[i + 1]).bit_count() > 2 for i in close) and len(close) < 30
+    near = close | {i for i in range(0, 60, 2) if (fps[i] ^ fps[i + 1]).bit_count() <= 2}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert kept == {i for i, _ in rows if i % 2 == 0 or i - 1 not in near}
