@@ -2,7 +2,8 @@
 
 Host and path are cut out of the url with column expressions and held against a fixed list of rules. Urls that no rule fits are judged by
 multinomial naive Bayes: runs of letters in host and path are split into words by Viterbi over a unigram model, whose counts are those of
-all words in the pages' own text, and the words are scored. It learns from all urls: those with a seed word in their segmented host are
+all words in the pages' own text, and the words are scored. The counts are a table; only the words that are found within a run go to the driver,
+as no other can be part of a split. It learns from all urls: those with a seed word in their segmented host are
 its examples of block, the others of allow, so that words that keep company with seed words count as well.
 
 Cases: a null url or one without ``://`` has an empty host and path, no rule and the verdict allow; a null html adds no words; without urls with and
@@ -22,14 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sedimenta.llm import scratch
+
 #: (host and path, verdict)
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 #: Words in host names that mark a url as an example of block.
 SEEDS = ("ads", "adult", "bet", "bets", "betting", "bonus", "cheap", "casino", "escort", "farm", "free", "gambling", "loan", "loans", "lottery", "malware", "phishing", "pills", "poker", "porn", "replica", "sex", "slots", "spam", "tracker", "track", "viagra", "warez", "win", "xxx")
 #: A host needs two of them, or one of these.
 STRONG = ("adult", "casino", "escort", "gambling", "malware", "phishing", "porn", "spam", "viagra", "warez", "xxx")
-#: Words of the unigram model, the most frequent, and places that hashed words are counted in: the bounds of what goes to the driver.
-VOCABULARY, PLACES = 20_000, 1 << 16
+#: Places that hashed words are counted in.
+PLACES = 1 << 16
+#: Letters of an unknown word at most; known words are as long as they are.
 LONGEST = 24
 #: Added to each seen place's count.
 SMOOTH = 0.1
@@ -49,8 +53,37 @@ def parsed(pages: DataFrame, rules=RULES) -> DataFrame:
     return out.withColumns({"rule": rule, "ruled": verdict})
 
 
-def unigrams(pages: DataFrame, vocabulary: int = VOCABULARY) -> dict[str, float]:
-    """Log probabilities of the most frequent words (a-z) in the text of all pages."""
+def runs_of(text: str | None) -> list[str]:
+    """Runs of letters and runs of digits, in order."""
+    return re.findall(r"[^\W\d_]+|\d+", (text or "").lower())
+
+
+def _parts(marked: DataFrame) -> DataFrame:
+    """(part): the substrings of one to LONGEST + 1 letters of all runs in hosts and paths."""
+
+    def runs(batches):
+        for batch in batches:
+            found = {r for i in range(2) for text in batch.column(i).to_pylist() for r in runs_of(text) if not r[0].isdigit()}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["run"])
+
+    def cut(batches):
+        for batch in batches:
+            found: set = set()
+            for run in batch.column(0).to_pylist():
+                found.update(run[i:j] for i in range(len(run)) for j in range(i + 1, min(len(run), i + LONGEST + 1) + 1))
+                if len(found) > MEMORY:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], names=["part"])
+                    found = set()
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], names=["part"])
+
+    return marked.select("host", "path").mapInArrow(runs, "run string").distinct().mapInArrow(cut, "part string")
+
+
+def unigrams(pages: DataFrame, rules=RULES) -> dict[str, float]:
+    """Log probabilities, among all words (a-z) in the text of all pages, of those that can be part of a run in a host or path.
+
+    The empty word stands for the rarest of all. A word of over LONGEST + 1 letters is taken where its first letters are found.
+    """
 
     def run(batches):
         tags, letters = re.compile(rb"<[^>]*>"), re.compile(rb"[a-z]{2,}")
@@ -70,11 +103,13 @@ def unigrams(pages: DataFrame, vocabulary: int = VOCABULARY) -> dict[str, float]
         if counts:
             yield flush()
 
-    counted = pages.select(F.col("html").cast("binary")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    best = counted.where(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(vocabulary).collect()
-    counts = {r.word: r.n for r in best}
-    total = sum(counts.values()) + len(SEEDS)
-    return {w: math.log((counts.get(w, 0) + (w in SEEDS)) / total) for w in {*counts, *SEEDS}}
+    counted = scratch.save(pages.select(F.col("html").cast("binary")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "url-words")
+    seen, rarest = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.min("n"), F.lit(1))).first()
+    used = counted.join(_parts(parsed(pages, rules)), F.substring("word", 1, LONGEST + 1) == F.col("part"), "left_semi").toArrow()
+    counts = dict(zip(used.column(0).to_pylist(), used.column(1).to_pylist()))
+    scratch.drop(counted)
+    total = seen + len(SEEDS)
+    return {"": math.log(rarest / total), **{w: math.log((counts.get(w, 0) + (w in SEEDS)) / total) for w in {*counts, *SEEDS}}}
 
 
 class Segmenter:
@@ -83,6 +118,7 @@ class Segmenter:
     def __init__(self, log_p: dict[str, float]):
         self.log_p, self.known = log_p, {}
         self.unknown = min(log_p.values(), default=0.0) - 2.0
+        self.longest = max([LONGEST, *map(len, log_p)])
 
     def split(self, run: str) -> list[str]:
         if (done := self.known.get(run)) is not None:
@@ -90,9 +126,11 @@ class Segmenter:
         best, back = [0.0], [0]
         for end in range(1, len(run) + 1):
             at, top = end - 1, -math.inf
-            for start in range(max(0, end - LONGEST), end):
-                word = run[start:end]
-                score = best[start] + self.log_p.get(word, self.unknown - 3.0 * (end - start))
+            for start in range(max(0, end - self.longest), end):
+                p = self.log_p.get(run[start:end])
+                if p is None and end - start > LONGEST:
+                    continue
+                score = best[start] + (self.unknown - 3.0 * (end - start) if p is None else p)
                 if score > top:
                     at, top = start, score
             best.append(top)
@@ -110,7 +148,7 @@ class Segmenter:
         """h: and p: words, with runs of digits as one token."""
         out = []
         for kind, text in (("h:", host or ""), ("p:", path or "")):
-            for run in re.findall(r"[^\W\d_]+|\d+", text.lower()):
+            for run in runs_of(text):
                 out += [kind + "0"] if run[0].isdigit() else [kind + w for w in self.split(run)]
         return out
 
@@ -151,7 +189,7 @@ def train(marked: DataFrame, log_p: dict[str, float]) -> np.ndarray | None:
 def filtered(pages: DataFrame, rules=RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, log_odds) for each row of pages (page_id, url, html); log_odds of block, null under a rule."""
     marked = parsed(pages, rules)
-    log_p = unigrams(pages)
+    log_p = unigrams(pages, rules)
     odds = train(marked, log_p)
 
     def judge(batches):

@@ -446,3 +446,15 @@ def test_url_words(spark):
     verdicts = {(r.host, r.verdict) for r in url_filter.filtered(pages).collect()}
     assert verdicts == {("springgarden.org", "allow"), ("dailynews.org", "allow"), ("cheappills.org", "block"), ("casinonews.org", "block")}
     assert url_filter.filtered(pages.limit(0)).count() == 0
+
+
+def test_rare_and_long_words_of_urls_are_known(spark):
+    common = [a + b + c + d for a in "bcdfghjklm" for b in "aeiou" for c in "npqrstvwxz" for d in "abcdefghijklmnopqrstuvwxyzbcdfghjklmnpqrst"]
+    common = sorted({w + e for w in common for e in "yz"})
+    long = "internationalizationspecialist"
+    html = "<p>" + " ".join(common * 2) + " quokka zebu " + long + "</p>"
+    pages = spark.createDataFrame([(0, f"http://zebuquokka.org/{long}zebu", html), (1, "http://www.org/", "")], "page_id long, url string, html string")
+    log_p = url_filter.unigrams(pages)
+    segmenter = url_filter.Segmenter(log_p)
+    assert len(common) > 20_000 and len(log_p) < 1000
+    assert segmenter.split("zebuquokka") == ["zebu", "quokka"] and segmenter.split(long + "zebu") == [long, "zebu"]
