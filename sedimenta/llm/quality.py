@@ -3,7 +3,7 @@
 A document's rule statistics are computed from its whole text. The forest is grown on a bounded sample of labelled rows of good quality that pass the base rules:
 each tree splits a small subsample at random values of random statistics. A document's mean path length over the trees says how
 ordinary it is; those with shorter paths than the threshold are anomalous. The threshold is the path length below which a stated share
-of the good sample falls, lowered until labelled junk no longer gains; without labels nothing is judged anomalous.
+of the good sample falls, lowered half-way to the longest path of labelled junk below it; without labels nothing is judged anomalous.
 
 Cases: null and empty texts have statistics zero and fail the base rule of 20 words; null labels aren't learned from; rows of an equal doc_id
 each get a row; an empty table gives no rows; other columns are ignored.
@@ -27,12 +27,9 @@ TREES, SUBSAMPLE, SEED = 100, 256, 7
 #: The share of good labelled rows that the threshold may reject.
 MAY_REJECT = 0.002
 SYMBOLS = b"#*$%&|<>"
-COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks", "n_digits", "n_lines", "n_distinct_words"]
+COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines"]
 _NO_SYMBOL = bytes(c for c in range(256) if c not in SYMBOLS)
 _NO_UPPER = bytes(c for c in range(256) if not 65 <= c <= 90)
-_NO_MARK = bytes(c for c in range(256) if c not in b"!?")
-_NO_DIGIT = bytes(c for c in range(256) if not 48 <= c <= 57)
-_CONTINUES = bytes(range(0x80, 0xC0))
 
 
 def statistics(text: bytes | None, window: int = 8) -> list[int]:
@@ -62,7 +59,7 @@ def statistics(text: bytes | None, window: int = 8) -> list[int]:
         np.add.at(edge, at + window, -1)
         repeated = int((np.cumsum(edge)[:n] > 0).sum())
     return [n, sum(map(len, words)) - sum(map(len, words_of(text))), len(text.translate(None, _NO_SYMBOL)), dup_lines, repeated,
-            len(text.translate(None, _NO_UPPER)), len(text.translate(None, _NO_MARK)), len(text.translate(None, _NO_DIGIT)), len(lines), len(distinct)]
+            len(text.translate(None, _NO_UPPER)), len(lines)]
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -83,7 +80,7 @@ def rule_statistics(docs: DataFrame) -> DataFrame:
 
 def features(stats: np.ndarray) -> np.ndarray:
     """Ratios in which size cancels, by rows of COLUMNS; path lengths over them isolate what is odd, not what is long."""
-    n, chars, symbols, dup, _, upper, _, _, lines, _ = stats.astype(float).T
+    n, chars, symbols, dup, _, upper, lines = stats.astype(float).T
     size, words = np.maximum(chars, 1), np.maximum(n, 1)
     return np.column_stack([np.sqrt(symbols / size), np.sqrt(symbols / words), upper / size, chars / words, dup / np.maximum(lines, 1)])
 
@@ -92,10 +89,12 @@ def grow(x: np.ndarray, span: np.ndarray, trees: int = TREES, subsample: int = S
     """Trees as arrays: split column (-1 at a leaf), split value, left child (right is one more), path length at a leaf.
 
     span is the range of each column over all labelled rows. A node's split value is drawn from beyond the range of its rows too, by a part of
-    span: what lies outside of all that a tree has seen is cut off early, also in a column that is constant in its rows.
+    span: what lies outside of all that a tree has seen is cut off early, also in a column that is constant in its rows. A side without rows is
+    a leaf at the depth where it was cut off.
     """
     rng, forest = np.random.default_rng(seed), []
     mean_path = lambda n: 0.0 if n <= 1 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else 1.0
+    wide = np.flatnonzero(span > 0)
     limit = int(np.ceil(np.log2(max(2, min(subsample, len(x))))))
     for _ in range(trees):
         rows = x[rng.choice(len(x), min(subsample, len(x)), replace=False)]
@@ -103,18 +102,16 @@ def grow(x: np.ndarray, span: np.ndarray, trees: int = TREES, subsample: int = S
         todo = [(rows, 0)]
         while todo:
             own, depth = todo.pop(0)
-            low, high = own.min(axis=0), own.max(axis=0)
-            wide = np.flatnonzero(span > 0)
             if depth >= limit or len(own) <= 1 or not len(wide):
                 column.append(-1), value.append(0.0), left.append(-1), path.append(depth + mean_path(len(own)))
                 continue
+            low, high = own.min(axis=0), own.max(axis=0)
             c = int(rng.choice(wide))
             margin = 0.5 * span[c]
             v = float(rng.uniform(low[c] - margin, high[c] + margin))
             column.append(c), value.append(v), left.append(len(column) + len(todo)), path.append(0.0)
             below = own[:, c] < v
-            for part in (own[below], own[~below]):
-                todo.append((part if len(part) else np.empty((0, x.shape[1])), depth + 1)) if len(part) else todo.append((own[:1], limit))
+            todo += [(own[below], depth + 1), (own[~below], depth + 1)]
         forest.append((np.array(column), np.array(value), np.array(left), np.array(path)))
     return forest
 
@@ -148,9 +145,9 @@ def train(stats: DataFrame, labels: DataFrame) -> tuple[list[tuple], float]:
     forest = grow(good, x.max(axis=0) - x.min(axis=0))
     paths, junk = np.sort(path_lengths(good, forest)), path_lengths(x[quality == 0], forest)
     at_most = float(paths[int(MAY_REJECT * len(paths))])
-    # lowered to the shortest path of a good row that loses no junk
+    # lowered half-way to the longest path of the junk below it, which loses none of that
     caught = junk[junk < at_most]
-    return forest, float(np.nextafter(caught.max(), np.inf)) if len(caught) else -1.0
+    return forest, (at_most + float(caught.max())) / 2 if len(caught) else -1.0
 
 
 def judge(stats: DataFrame, model: tuple[list[tuple], float]) -> DataFrame:
