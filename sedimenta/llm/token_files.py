@@ -6,7 +6,8 @@ fits and 32 otherwise), ``offsets-NNNNNN.bin`` (n_docs + 1 little-endian unsigne
 Documents stand in ascending doc_id order over all shards; the offset of a shard's first id is the prefix sum of the shards before it.
 
 Cases: a null or empty text is a document of the end id alone; null doc_ids come first and are kept as -2**63, read back as null;
-rows of an equal doc_id are all kept, ordered by their ids' bytes; an empty table gives a manifest of empty shards and no rows; other columns are ignored.
+rows of an equal doc_id are all kept, ordered by a hash of their text, and spread over as many shards as their share of the rows is of all; the
+strings of a vocabulary's special tokens are coded as the library codes them, as these tokens, unless they are asked for as text; an empty table gives a manifest of empty shards and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ PLAIN_BELOW = "Ԁ"
 MEMORY = 900_000
 #: Documents that are encoded at a time.
 SLICE = 1_000
+#: Shards at most; beyond it they grow.
+SHARDS = 10_000
 
 
 def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -61,16 +64,17 @@ class Encoder:
     are cut there, and the ids of each part, which the library has coded once, are remembered.
     """
 
-    def __init__(self, path: str, end_id: int, dtype: str):
+    def __init__(self, path: str, end_id: int, dtype: str, special_as_text: bool = False):
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
         kind = json.loads(self.tokenizer.to_str())
         byte_level = kind["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and not kind["normalizer"]
         self.split = regex.compile(PRETOKEN).findall if byte_level else None
-        self.foreign = re.compile(f"[{PLAIN_BELOW}-\U0010ffff]").search
+        added = "".join("|" + re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.foreign = re.compile(f"[{PLAIN_BELOW}-\U0010ffff]{added}").search
         self.model = self.tokenizer.model
         self.letter_of = _byte_letters()
         self.code = "H" if dtype == "<u2" else "I"
@@ -134,30 +138,34 @@ class Encoder:
         return self.encode_all([text])[0]
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, vocabulary: int = 50_257, docs_per_shard: int = 50_000) -> dict:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, vocabulary: int = 50_257, docs_per_shard: int = 50_000, special_as_text: bool = False) -> dict:
     """Writes the files of docs (doc_id, text) to folder and returns the manifest.
 
-    Shards are doc_id ranges of about docs_per_shard rows, at least as many as there are shuffle partitions. Texts are encoded where they
+    Shards are doc_id ranges of about docs_per_shard rows, at least as many as there are shuffle partitions and SHARDS at most. A doc_id that
+    is several of the quantiles between them has that many shards, by its texts' hashes. Texts are encoded where they
     are read; only ids are shuffled. A task writes under a name of its own and then renames, so that a retried task leaves whole files.
     """
     spark = docs.sparkSession
     dtype = "<u2" if max(vocabulary, end_id + 1) <= 2**16 else "<u4"
     n_rows = docs.select("doc_id").count()
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // docs_per_shard))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(SHARDS, -(-n_rows // docs_per_shard)))
     steps = [i / n for i in range(1, n)]
-    found = docs.select(F.percentile_approx("doc_id", steps, max(10_000, 100 * n)).alias("q")).first().q if steps else []
-    bounds = np.array(sorted(set(found or [])), np.int64)
+    own_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
+    found = docs.select(F.percentile_approx(own_id, steps, max(10_000, 100 * n)).alias("q")).first().q if steps else []
+    bounds = np.array(sorted(found or []), np.int64)
     store, path = open_store(folder)
     store.create_dir(path)
 
     def encode(batches):
-        encoder = Encoder(tokenizer, end_id, dtype)
+        encoder = Encoder(tokenizer, end_id, dtype, special_as_text)
         gc.disable()  # nothing here is cyclic, and the remembered parts would be walked again and again
         for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
-            ids = [NULL_ID if x is None else x for x in batch.column(0).to_pylist()]
+            ids, of_text = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            low, high = np.searchsorted(bounds, ids, side="left"), np.searchsorted(bounds, ids, side="right")
+            shard = low + (of_text * np.maximum(high - low, 1) >> 32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.searchsorted(bounds, np.array(ids, np.int64), side="left"), pa.int32()), pa.array(ids, pa.int64()), pa.array(encoder.encode_all(batch.column(1).to_pylist()), pa.binary())],
-                names=["shard", "doc_id", "ids"],
+                [pa.array(shard, pa.int32()), batch.column(0), batch.column(2), pa.array(encoder.encode_all(batch.column(1).to_pylist()), pa.binary())],
+                names=["shard", "doc_id", "of_text", "ids"],
             )
         gc.enable()
 
@@ -165,27 +173,28 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        shard, out, sizes, ids = task.partitionId(), None, [], []
+        shard, out, sizes, ids = task.partitionId(), None, array("Q"), []
         names = [f"{path}/{kind}-{shard:06d}.bin" for kind in ("tokens", "lengths", "docs")]
         own = [f"{name}.{task.taskAttemptId()}" for name in names]
         store, _ = open_store(folder)
         for batch in batches:
             out = out or store.open_output_stream(own[0])
-            for blob in batch.column(2):
+            for blob in batch.column(3):
                 out.write(blob.as_buffer())
                 sizes.append(len(blob.as_buffer()) // int(dtype[2]))
             ids.append(batch.column(1).to_numpy(zero_copy_only=False))
         if sizes:
             out.close()
-            for name, array in zip(own[1:], (np.array(sizes, "<u8"), np.concatenate(ids).astype("<i8"))):
+            for name, values in zip(own[1:], (np.array(sizes, "<u8"), np.concatenate(ids).astype("<i8"))):
                 with store.open_output_stream(name) as f:
-                    f.write(array.tobytes())
+                    f.write(values.tobytes())
             for a, b in zip(own, names):
                 store.move(a, b)
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(sizes)], pa.int64()), pa.array([sum(sizes)], pa.int64())], names=["shard", "n_docs", "n_tokens"])
 
-    coded = docs.select("doc_id", "text").mapInArrow(encode, "shard int, doc_id long, ids binary")
-    dealt = coded.repartitionById(n, F.col("shard")).sortWithinPartitions("doc_id", "ids")
+    of_text = F.shiftrightunsigned(F.xxhash64("text"), 32)
+    coded = docs.select(own_id.alias("doc_id"), "text", of_text.alias("of_text")).mapInArrow(encode, "shard int, doc_id long, of_text long, ids binary")
+    dealt = coded.repartitionById(n, F.col("shard")).sortWithinPartitions("doc_id", "of_text", "ids")
     shards = sorted(tuple(r) for r in dealt.mapInArrow(write, "shard int, n_docs long, n_tokens long").collect())  # a row a shard
     bases = np.concatenate([[0], np.cumsum([s[2] for s in shards])]).tolist()
     live = [[s[0], s[1], s[2], base] for s, base in zip(shards, bases) if s[1]]
