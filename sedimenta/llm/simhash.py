@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,13 +29,15 @@ LOW = 0x5555555555555555
 GROUPS = 5
 #: Words of a shingle where texts are compared whole, and places that hashed shingles are counted in, to order them.
 SHINGLE, PLACES = 5, 1 << 18
+#: Bytes that words are hashed by at a time, the base of their polynomials, and shingles of texts that a worker remembers.
+BLOCK, BASE, REMEMBERED = 1 << 16, 0x100000001B3, 2_000_000
+_TABLES: dict = {}
 #: Cells with more fingerprints are linked through midpoints.
 DENSE = 48
 
 
 def fingerprint(text: bytes | None, width: int = 3, seed: int = SEED) -> int:
     """The unsigned 64-bit fingerprint: a bit is 1 if set in over half of the shingles' hashes."""
-    import numpy as np
     from xxhash import xxh64_intdigest
 
     words = (text or b"").lower().split()  # on bytes: A-Z only, and splits at \x20\x09-\x0D only
@@ -100,24 +103,60 @@ def links(fps: DataFrame, radius: int = 2, dense: int = DENSE) -> DataFrame:
     return pairs.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).unionByName(stars)
 
 
-def shingles(text: bytes | None, width: int = SHINGLE, seed: int = SEED):
-    """The distinct hashes of a text's shingles, in order; of all words, where they are fewer."""
-    import numpy as np
-    from xxhash import xxh64_intdigest
-
-    words = (text or b"").lower().split()
-    found = [xxh64_intdigest(b" ".join(words[i : i + width]), seed) for i in range(max(1, len(words) - width + 1))] if words else []
-    return np.unique(np.array(found, "<u8")).view(np.int64)
+def _powers(base: int) -> np.ndarray:
+    steps = np.full(BLOCK, base % (1 << 64), np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word, in order: a polynomial over its bytes, mixed."""
+    if not _TABLES:
+        letters = np.random.default_rng(SEED).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+        letters[65:91] = letters[97:123]
+        _TABLES.update(letters=letters, space=np.isin(np.arange(256), [32, *range(9, 14)]), up=_powers(BASE), down=_powers(pow(BASE, -1, 1 << 64)))
+    out, begin = [], 0
+    while begin < len(text):
+        end = min(len(text), begin + BLOCK)
+        if end < len(text):  # at white space, or the word is longer than a block and is hashed by the library
+            last = max(text.rfind(c, begin, end) for c in (b" ", b"\t", b"\n", b"\v", b"\f", b"\r"))
+            if last < begin:
+                from xxhash import xxh64_intdigest
+
+                cut = min((k for k in (text.find(c, end) for c in (b" ", b"\t", b"\n", b"\v", b"\f", b"\r")) if k >= 0), default=len(text))
+                out.append(np.array([xxh64_intdigest(text[begin:cut].lower(), SEED)], np.uint64))
+                begin = cut
+                continue
+            end = last + 1
+        data = np.frombuffer(text, np.uint8, end - begin, begin)
+        edge = np.flatnonzero(np.diff(_TABLES["space"][data], prepend=True, append=True))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLES["letters"][data] * _TABLES["up"][: len(data)])])
+        found = (sums[edge[1::2]] - sums[edge[::2]]) * _TABLES["down"][edge[::2]]
+        out.append((found ^ found >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9))
+        begin = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def shingles(text: bytes | None, width: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order; of all words, where they are fewer. A shingle's hash is made of its words' hashes."""
+    of_word = word_hashes(text or b"")
+    size = min(width, len(of_word))
+    if not size:
+        return np.zeros(0, np.int64)
+    found = of_word[: len(of_word) - size + 1] + np.uint64(size)
+    for k in range(1, size):
+        found = found * np.uint64(0x9E3779B97F4A7C15) + of_word[k : len(of_word) - size + 1 + k]
+        found ^= found >> np.uint64(29)
+    return np.unique(found).view(np.int64)
 
 
 def similar(texts: DataFrame, least: float) -> DataFrame:
     """(u, v) fingerprints of all pairs of texts (text_hash, text, fp, component) of different components whose shingles have that Jaccard similarity.
 
     Of two such sets, each has one in common among its first (1 - least) share and one more, in any order that is the same for all. Here
-    the rare come first, by counts of hashed places. Shingles that only one component has are left out; pairs that share one are compared whole.
+    the rare come first, by counts of hashed places. Shingles that only one component has are left out; of pairs that share one, those of one text
+    of the shingle with its others are compared whole, and then those that are in different components even so.
     """
-    import numpy as np
-
     def count(batches):
         n = np.zeros(PLACES, np.int64)
         for batch in batches:
@@ -146,30 +185,60 @@ def similar(texts: DataFrame, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*kept, pa.array(np.repeat(np.array([n for _, n in rows], np.int32), lengths)), pa.array(token, pa.int64())], names=["h", "fp", "component", "n", "token"])
 
     heads = scratch.save(texts.select("text_hash", "text", "fp", "component").mapInArrow(first, "h long, fp long, component long, n int, token long"), "simhash-heads")
-    mixed = heads.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("token")
-    met = scratch.save(heads.join(mixed, "token"), "simhash-shared")
+    mixed = lambda rows: rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
+    met = scratch.save(heads.join(mixed(heads), "token"), "simhash-shared")
     scratch.drop(heads)
-    a, b = met.alias("a"), met.alias("b")
-    differ = (F.col("a.token") == F.col("b.token")) & (F.col("a.component") < F.col("b.component"))
     sized = (F.col("a.n") >= F.col("b.n") * least - 1e-9) & (F.col("b.n") >= F.col("a.n") * least - 1e-9)
-    pairs = scratch.save(a.join(b, differ & sized).select(F.col("a.h").alias("h"), F.col("b.h").alias("g"), F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).distinct(), "simhash-pairs")
+    names = ("h", "fp", "component")
+    pair = [F.col(f"{side}.{c}").alias(f"{c}_{side}") for side in "ab" for c in names]
+    # first with one text of each shingle, which joins most of what is alike; then all that are still apart
+    lead = met.groupBy("token").agg(F.min(F.struct("component", "h", "fp", "n")).alias("l")).select("token", "l.*")
+    begun = met.alias("a").join(lead.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.component") != F.col("b.component")) & sized).select(pair).distinct()
+    one = compared(texts, scratch.save(begun, "simhash-pairs"), least)
+    parts = scratch.save(graph.components(one.select(F.col("component_a").alias("u"), F.col("component_b").alias("v")), "simhash-merged"), "simhash-merged")
+    now = met.join(parts.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+    now = scratch.save(now.select("token", "h", "fp", "n", F.coalesce("to", "component").alias("component")), "simhash-shared")
     scratch.drop(met)
-    text = lambda name: texts.select(F.col("text_hash").alias(name), F.col("text").alias("text_" + name))
+    left = now.join(mixed(now), "token")
+    apart = left.alias("a").join(left.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.component") < F.col("b.component")) & sized).select(pair).distinct()
+    two = compared(texts, scratch.save(apart, "simhash-pairs"), least)
+    scratch.drop(now)
+    return one.unionByName(two).select(F.col("fp_a").alias("u"), F.col("fp_b").alias("v"))
+
+
+def compared(texts: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """The pairs (h_a, h_b and others) whose texts' shingles have that Jaccard similarity; texts (text_hash, text)."""
+    keep = pairs.columns
 
     def compare(batches):
+        known, size = {}, 0  # shingles by text, as pairs of one text come together
         for batch in batches:
             good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = shingles(x), shingles(y)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both >= least * (len(x) + len(y) - both) - 1e-9)
-            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
-
-    out = scratch.save(pairs.join(text("h"), "h").join(text("g"), "g").select("u", "v", "text_h", "text_g").mapInArrow(compare, "u long, v long").distinct(), "simhash-similar")
+            for h, g, x, y in zip(*[batch.column(c).to_pylist() for c in ("h_a", "h_b", "text_a", "text_b")]):
+                sets = []
+                for key, text in ((h, x), (g, y)):
+                    if key not in known:
+                        if size > REMEMBERED:
+                            known, size = {}, 0
+                        known[key] = shingles(text)
+                        size += len(known[key])
+                    sets.append(known[key])
+                both = len(np.intersect1d(*sets, assume_unique=True))
+                good.append(both >= least * (len(sets[0]) + len(sets[1]) - both) - 1e-9)
+            yield batch.select(keep).filter(pa.array(good, pa.bool_()))
+
+    text = lambda side: texts.select(F.col("text_hash").alias("h_" + side), F.col("text").alias("text_" + side))
+    both = pairs.join(text("b"), "h_b").join(text("a"), "h_a").repartition(_width(texts), "h_a").sortWithinPartitions("h_a", "h_b")
+    out = scratch.save(both.select(*keep, "text_a", "text_b").mapInArrow(compare, pairs.schema), "simhash-similar")
     scratch.drop(pairs)
     return out
 
 
+def _width(df: DataFrame) -> int:
+    """Partitions of what is computed on, which are many although it has few bytes."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = 2, least: float | None = None) -> DataFrame:
     """(doc_id, text_hash, fingerprint, component_id) for each row of docs (doc_id, text); least also links texts by their shingles' Jaccard similarity."""
     marked = scratch.save(fingerprints(docs), "simhash-fp")
@@ -178,7 +247,7 @@ def near_duplicates(docs: DataFrame, radius: int = 2, least: float | None = None
     if least is not None:
         parts = scratch.save(parts, "simhash-parts")
         known = marked.select("text_hash", "fp").distinct().join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("text_hash", "fp", F.coalesce("component", "fp").alias("component"))
-        texts = docs.select(F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text")).dropDuplicates(["text_hash"]).join(known, "text_hash")
+        texts = docs.select(F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text")).repartition(_width(docs), "text_hash").dropDuplicates(["text_hash"]).join(known, "text_hash")
         texts = scratch.save(texts, "simhash-texts")
         more = similar(texts, least)
         scratch.drop(texts)
