@@ -18,7 +18,9 @@ DNA_MAX = 256 * MIB
 BH_LOW, BH_HIGH, BH_POWER, BH_BUMP = 0.965, 0.995, 2, 0.20
 EMA_ALPHA, EMA_STEP, EMA_TARGET, BIAS_LOW, BIAS_HIGH = 0.12, 0.010, 0.06, -0.05, 0.20
 CHUNK_OVERHEAD = 96
-AUTO_FILES, AUTO_BYTES, AUTO_ENTROPY, AUTO_GAIN, AUTO_SCORE = 64, 16 * KIB, 0.97, 0.03, 0.35
+MEDIA_OFFSETS = (0.0, 0.25, 0.75)
+FORCED_ENTROPY, UNGATED_ENTROPY = 7.95, 0.5
+AUTO_FILES, AUTO_ENTROPY, AUTO_GAIN, AUTO_SCORE = 64, 0.97, 0.03, 0.35
 SECTION_HEADER, CHUNK_HEADER = 12, 56
 #: crc32 of four bytes from a register of all ones is their crc32 xor this.
 SEEDED_CRC = 0xDEBB20E3

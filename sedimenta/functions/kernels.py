@@ -5,8 +5,12 @@ from __future__ import annotations
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from sedimenta.functions.constants import MOTIF_LENGTH, PROBE_BYTES, SEEDED_CRC
+from sedimenta.functions import codecs
+from sedimenta.functions.constants import CLASS_MEDIA, CODEC_ZLIB, MEDIA_OFFSETS, MOTIF_LENGTH, PROBE_BYTES, PROBE_LEVEL, SEEDED_CRC
 
 
 def entropy(b: bytes) -> float:
@@ -53,28 +57,52 @@ def simhash(b: bytes, most: int = 8192) -> int:
     return int(sum(1 << k for k in np.flatnonzero(2 * ones >= len(grams)).tolist()))
 
 
-#: Features by name: their kernel and SQL type. A fingerprint's bits are a signed long.
-FEATURES = {"entropy": (entropy, "double"), "uniq": (distinct_pairs, "double"), "motif_score": (motif_score, "double"), "pi_sig": (signature, "array<bigint>"), "pi_hash64": (lambda b: _signed(simhash(b)), "bigint")}
-
-
 def _signed(bits: int) -> int:
     return bits - (1 << 64) if bits >> 63 else bits
 
 
-def features_of(df, wanted=tuple(FEATURES), content: str = "content", probe: int = PROBE_BYTES):
-    """df with the wanted features, and no others computed, of the first probe bytes of content (binary)."""
-    import pyarrow as pa
-    from pyspark.sql import functions as F
+def probe_gain(b: bytes) -> float:
+    """How much a probe compresses, as a share of it."""
+    return 1 - len(codecs.compress(b, CODEC_ZLIB, PROBE_LEVEL)) / len(b) if b else 0.0
+
+
+def _mean(values: list[float]) -> float:
+    return sum(values) / len(values)
+
+
+def _of_first(f):
+    return lambda probes: f(probes[0])
+
+
+#: Features by name: what they are of a file's probes, and their SQL type. A fingerprint's bits are a signed long.
+FEATURES = {
+    "entropy": (lambda probes: _mean([entropy(b) for b in probes]), "double"),
+    "uniq": (lambda probes: _mean([distinct_pairs(b) for b in probes]), "double"),
+    "gain": (lambda probes: min(probe_gain(b) for b in probes), "double"),
+    "motif_score": (_of_first(motif_score), "double"),
+    "pi_sig": (_of_first(signature), "array<bigint>"),
+    "pi_hash64": (_of_first(lambda b: _signed(simhash(b))), "bigint"),
+}
+
+
+def probes(content: Column, ext: Column, probe: int = PROBE_BYTES) -> Column:
+    """The parts of a file that features are computed of: its head, and of media of over two probes also what follows a quarter and three quarters."""
+    size = F.octet_length(content)
+    part = lambda share: content.substr(F.floor(size * F.lit(share)).cast("int") + 1, F.lit(probe))
+    return F.when(F.coalesce(F.lower(ext).isin(CLASS_MEDIA), F.lit(False)) & (size > 2 * probe), F.array(*[part(x) for x in MEDIA_OFFSETS])).otherwise(F.array(F.coalesce(part(0.0), F.lit(b""))))
+
 
+def features_of(df: DataFrame, wanted=tuple(FEATURES), probe: int = PROBE_BYTES) -> DataFrame:
+    """df (content, ext and others) without content, with the wanted features of its probes, and no others computed."""
     arrow = {"double": pa.float64(), "array<bigint>": pa.list_(pa.int64()), "bigint": pa.int64()}
     chosen = [(n, *FEATURES[n]) for n in wanted]
-    names = [c for c in df.columns if c != content]
+    names = [c for c in df.columns if c != "content"]
 
     def run(batches):
         for batch in batches:
-            heads = [b or b"" for b in batch.column(len(names)).to_pylist()]
-            made = [pa.array([f(b) for b in heads], arrow[kind]) for _, f, kind in chosen]
+            taken = batch.column(len(names)).to_pylist()
+            made = [pa.array([f(x) for x in taken], arrow[kind]) for _, f, kind in chosen]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *made], names=[*names, *[n for n, _, _ in chosen]])
 
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names] + [f"{n} {kind}" for n, _, kind in chosen])
-    return df.select(*names, F.substring(content, 1, probe).alias("probe")).mapInArrow(run, schema)
+    return df.select(*names, probes(F.col("content"), F.col("ext"), probe).alias("probes")).mapInArrow(run, schema)

@@ -55,6 +55,25 @@ def gate_hint(size: Column, ext: Column, fast: bool = True) -> Column:
     )
 
 
+def hinted(hint: Column, entropy: Column, gain: Column, motif: Column, container: Column, similarity: Column, fast: bool = True, gate: bool = True) -> Column:
+    """struct(entropy, gain, motif, container, similarity) as the planner takes them after the first gate's hint.
+
+    A closed structure lane has no motifs and no base; a file forced to be whole looks incompressible. Without a gate all files look alike but
+    for their gain.
+    """
+    closed, whole = (hint["no_structure"], hint["force_whole"]) if fast else (F.lit(False), F.lit(False))
+    found = {
+        "entropy": F.when(whole, F.greatest(entropy, F.lit(C.FORCED_ENTROPY))).otherwise(entropy),
+        "gain": F.when(whole, F.least(gain, F.lit(0.0))).otherwise(gain),
+        "motif": F.when(closed, 0.0).otherwise(motif),
+        "container": container,
+        "similarity": F.when(closed, 0.0).otherwise(similarity),
+    }
+    if not gate:
+        found |= {"entropy": F.lit(C.UNGATED_ENTROPY), "motif": F.lit(0.0), "container": F.lit(False), "similarity": F.lit(0.0)}
+    return F.struct(*[v.alias(k) for k, v in found.items()])
+
+
 def plan(size: Column, ext: Column, entropy: Column, gain: Column, motif: Column, container: Column, similarity: Column, bias: Column, dedupe: bool = True, micro: bool = True, chunk_size: int = C.CHUNK_SIZE) -> Column:
     """struct(state, action, level, threshold, reason) of a file whose best earlier base has the given similarity (0: none)."""
     kind = file_class(ext)

@@ -108,7 +108,13 @@ def reconstruct(archive: Archive) -> DataFrame:
     raw = _decoded(archive.blocks)
     joined = archive.spans.join(raw, "block_id")
     pieces = joined.groupBy("file_index").agg(F.array_sort(F.collect_list(F.struct("span_no", F.expr("substring(raw, 1, span_raw_len)").alias("raw")))).alias("p"))
-    return archive.files.select("file_index").join(pieces, "file_index", "left").select("file_index", F.coalesce(F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["raw"])), F.lit(b"")).alias("content"))
+
+    def join(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b"".join(p) for p in batch.column(1).to_pylist()], pa.binary())], names=["file_index", "content"])
+
+    whole = pieces.select("file_index", F.col("p.raw").alias("raw")).mapInArrow(join, "file_index long, content binary")
+    return archive.files.select("file_index").join(whole, "file_index", "left").select("file_index", F.coalesce("content", F.lit(b"")).alias("content"))
 
 
 def _decoded(blocks: DataFrame) -> DataFrame:

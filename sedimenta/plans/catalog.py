@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.functions import codecs, kernels, policy
 from sedimenta.functions import constants as C
-from sedimenta.operators import archive, chunking, folds, micro, ordering, similarity
+from sedimenta.operators import archive, chunking, folds, micro, ordering, planning, similarity
 from sedimenta.sources import files as sources
 
 CHUNK = 1024
@@ -175,21 +175,23 @@ def container_sniff(spark, d):
 
 
 def _features(spark, d, *wanted):
-    return kernels.features_of(_files(spark, d).select("file_index", "content"), wanted)
+    return kernels.features_of(_files(spark, d).select("file_index", "ext", "content"), wanted)
 
 
-BYTES = f"bytes AS (SELECT file_index, substr(hx, CAST(2 * i + 1 AS BIGINT), 2) AS b FROM (SELECT file_index, hx, unnest(range(least(raw_size, {C.PROBE_BYTES}))) AS i FROM files))"
+PROBES = f"""probes AS (SELECT file_index, off, substr(hx, CAST(2 * off + 1 AS BIGINT), {2 * C.PROBE_BYTES}) AS part FROM (
+  SELECT file_index, hx, unnest(CASE WHEN ext IN ({_list(C.CLASS_MEDIA)}) AND raw_size > {2 * C.PROBE_BYTES} THEN [0, CAST(floor(raw_size * 0.25) AS BIGINT), CAST(floor(raw_size * 0.75) AS BIGINT)] ELSE [0] END) AS off FROM files))"""
 
 
-@query(_with(FILES, BYTES) + """
-SELECT f.file_index, round(coalesce(e.entropy, 0.0), 6) AS entropy FROM files f LEFT JOIN (
-  SELECT file_index, -sum(p * log2(p)) / 8 AS entropy FROM (SELECT file_index, n / sum(n) OVER (PARTITION BY file_index) AS p FROM (SELECT file_index, b, count(*) AS n FROM bytes GROUP BY 1, 2)) GROUP BY 1) e USING (file_index)""")
+@query(_with(FILES, PROBES) + """
+SELECT file_index, round(avg(coalesce(e, 0.0)), 6) AS entropy FROM probes LEFT JOIN (
+  SELECT file_index, off, -sum(p * log2(p)) / 8 AS e FROM (SELECT file_index, off, n / sum(n) OVER (PARTITION BY file_index, off) AS p FROM (
+    SELECT file_index, off, substr(part, CAST(2 * i + 1 AS BIGINT), 2) AS b, count(*) AS n FROM (SELECT file_index, off, part, unnest(range(length(part) // 2)) AS i FROM probes) GROUP BY 1, 2, 3)) GROUP BY 1, 2) USING (file_index, off) GROUP BY 1""")
 def entropy(spark, d):
     return _features(spark, d, "entropy").select("file_index", F.round("entropy", 6).alias("entropy"))
 
 
-@query(_with(FILES) + f"""
-SELECT file_index, CASE WHEN n < 2 THEN 1.0 ELSE round(len(list_distinct([substr(hx, CAST(2 * i + 1 AS BIGINT), 4) FOR i IN range(n - 1)])) / (n - 1), 6) END AS uniq FROM (SELECT *, least(raw_size, {C.PROBE_BYTES}) AS n FROM files)""")
+@query(_with(FILES, PROBES) + """
+SELECT file_index, round(avg(CASE WHEN n < 2 THEN 1.0 ELSE len(list_distinct([substr(part, CAST(2 * i + 1 AS BIGINT), 4) FOR i IN range(n - 1)])) / (n - 1) END), 6) AS uniq FROM (SELECT *, length(part) // 2 AS n FROM probes) GROUP BY 1""")
 def uniq_bigram(spark, d):
     return _features(spark, d, "uniq").select("file_index", F.round("uniq", 6).alias("uniq"))
 
@@ -246,41 +248,37 @@ def top_motifs(spark, d):
 @query()
 def feature_rows(spark, d):
     """All features of each file, as the planner takes them."""
-    f = kernels.features_of(_files(spark, d).select("file_index", "ext", "raw_size", "content"))
-    return f.select("file_index", "ext", "raw_size", policy.file_class(F.col("ext")).alias("class_tag"), "entropy", "uniq", "motif_score", F.size("pi_sig").alias("windows"), "pi_hash64")
+    return planning.features(_files(spark, d)).withColumn("windows", F.size("pi_sig")).drop("pi_sig")
 
 
-# ---- similarity search; fingerprints from SHA-256, which both engines have
+# ---- similarity search
 
-FP = "fps AS (SELECT file_index, ext, CAST('0x' || substr(sha256(text), 1, 8) AS BIGINT) AS hi, CAST('0x' || substr(sha256(text), 9, 8) AS BIGINT) AS lo FROM files)"
+FP = "fps AS (SELECT f.file_index, ext, CASE WHEN raw_size < 4 THEN 4294967295 ELSE high END AS hi, CASE WHEN raw_size < 4 THEN 4294967295 ELSE low END AS lo FROM files f LEFT JOIN simhash USING (file_index) WHERE raw_size > 0)"
 HAM = "CAST(bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) AS INTEGER)"
 
 
-def _fps(spark, d):
-    h = F.sha2("content", 256)
-    part = lambda a: F.conv(F.substring(h, a, 8), 16, 10).cast("long")
-    return _files(spark, d).select("file_index", "ext", F.shiftleft(part(1), 32).bitwiseOR(part(9)).alias("fp"))
-
-
-@query(_with(FILES, FP) + f"""
+@query(_with(FILES, SIMHASH, FP) + f"""
 SELECT file_index, base_index, hamming, CAST(rank AS INTEGER) AS rank FROM (
   SELECT file_index, base_index, hamming, row_number() OVER (PARTITION BY file_index ORDER BY hamming, base_index) AS rank FROM (
-    SELECT a.file_index, b.file_index AS base_index, {HAM} AS hamming, row_number() OVER (PARTITION BY a.file_index, b.hi >> 29 ORDER BY b.file_index DESC) AS age
-    FROM fps a JOIN fps b ON a.ext = b.ext AND b.file_index < a.file_index AND ((a.hi >> 29) - (b.hi >> 29) + 8) % 8 IN (0, 1, 7)) WHERE age <= 16) WHERE rank <= 4""")
+    SELECT a.file_index, b.file_index AS base_index, {HAM} AS hamming, row_number() OVER (PARTITION BY a.file_index, b.hi >> {32 - C.PI_BUCKET_BITS} ORDER BY b.file_index DESC) AS age
+    FROM fps a JOIN fps b ON a.ext = b.ext AND b.file_index < a.file_index AND ((a.hi >> {32 - C.PI_BUCKET_BITS}) - (b.hi >> {32 - C.PI_BUCKET_BITS}) + {1 << C.PI_BUCKET_BITS}) % {1 << C.PI_BUCKET_BITS} IN (0, 1, {(1 << C.PI_BUCKET_BITS) - 1}))
+  WHERE age <= {C.PI_BUCKET_KEPT}) WHERE rank <= {C.PI_CANDIDATES}""")
 def asof_band_join(spark, d):
-    return similarity.candidates(_fps(spark, d), top=4, kept=16, bits=3)
+    """The candidates for a base of each file, by its fingerprint."""
+    f = kernels.features_of(_files(spark, d).where("raw_size > 0").select("file_index", "ext", "content"), ("pi_hash64",))
+    return similarity.candidates(f.withColumnRenamed("pi_hash64", "fp"))
 
 
-@query(_with(FILES, FP) + f"""
-SELECT file_index, base_index, hamming, CAST(rank AS INTEGER) AS rank FROM (
-  SELECT a.file_index, b.file_index AS base_index, {HAM} AS hamming, row_number() OVER (PARTITION BY a.file_index ORDER BY {HAM}, b.file_index) AS rank
-  FROM fps a JOIN fps b ON b.file_index < a.file_index AND b.file_index >= a.file_index - 50) WHERE rank <= 3""")
-def hamming_topk(spark, d):
-    f = _fps(spark, d)
-    near = f.select("file_index", "fp", F.explode(F.sequence(F.greatest(F.col("file_index") - 50, F.lit(0)), F.col("file_index"))).alias("base_index")).where("base_index < file_index")
-    met = near.join(f.select(F.col("file_index").alias("base_index"), F.col("fp").alias("base_fp")), "base_index").withColumn("hamming", similarity.hamming("fp", "base_fp").cast("int"))
-    rank = F.row_number().over(Window.partitionBy("file_index").orderBy("hamming", "base_index"))
-    return met.withColumn("rank", rank).where("rank <= 3").select("file_index", "base_index", "hamming", "rank")
+@query()
+def plan_files(spark, d):
+    """The lane of each file, from its content: features, hint, base and plan."""
+    return planning.planned(planning.features(_files(spark, d)))
+
+
+@query()
+def observed_gain(spark, d):
+    """What the chunked lane saves of each file."""
+    return planning.observed_gains(archive.build(_files(spark, d), chunk_size=CHUNK * 4))
 
 
 @query(_with(FILES, """edges AS (SELECT file_index, CASE WHEN file_index % 5 = 0 THEN NULL ELSE file_index - 1 END AS base FROM files),
@@ -321,6 +319,15 @@ def gate_hint(spark, d):
     return _synth(spark, d).select("file_index", policy.gate_hint(F.col("size"), F.col("ext")).alias("h")).select("file_index", "h.no_structure", "h.force_whole", "h.probe_bytes", "h.probe_level", "h.chunk_size")
 
 
+@query(_with(SYNTH, f"h AS (SELECT *, ext IN ({_list(C.FAST_MEDIA)}) AS whole, ext IN ({_list(C.FAST_MEDIA)}) OR size <= 33554432 AS closed FROM synth)") + """
+SELECT file_index, CASE WHEN whole THEN greatest(entropy, 7.95) ELSE entropy END AS entropy, CASE WHEN whole THEN least(gain, 0.0) ELSE gain END AS gain,
+       CASE WHEN closed THEN 0.0 ELSE motif END AS motif, container, CASE WHEN closed THEN 0.0 ELSE similarity END AS similarity FROM h""")
+def hint_application(spark, d):
+    f = _synth(spark, d)
+    own = policy.hinted(policy.gate_hint(F.col("size"), F.col("ext")), *[F.col(c) for c in ("entropy", "gain", "motif", "container", "similarity")])
+    return f.select("file_index", own.alias("f")).select("file_index", "f.*")
+
+
 @query(_with(SYNTH) + f"SELECT file_index, {STATE} AS state FROM synth")
 def classify_state(spark, d):
     c = [F.col(n) for n in ("entropy", "gain", "motif", "container", "ext")]
@@ -410,6 +417,14 @@ def ema_fold(spark, d):
     return _rounded(folds.adaptive_bias(sources.table(spark, d, "events").select(F.col("event_type").alias("grp"), F.col("event_id").alias("idx"), (F.col("value") / 500).alias("gain"))))
 
 
+@query(_with("g AS (SELECT event_type AS grp, event_id AS idx, value / 500 AS gain FROM events)", FOLD, "n AS (SELECT grp, idx, row_number() OVER (PARTITION BY grp ORDER BY idx) AS k FROM g)") + """
+SELECT n.grp, n.idx, round(f.ema, 6) AS ema, round(f.bias, 6) AS bias FROM n JOIN f ON f.grp = n.grp AND f.k = n.k - 1""")
+def ema_before_each(spark, d):
+    """The moving average and the bias that a planner has when it comes to each row."""
+    out = folds.before_each(sources.table(spark, d, "events").select(F.col("event_type").alias("grp"), F.col("event_id").alias("idx"), (F.col("value") / 500).alias("gain")))
+    return out.select("grp", "idx", F.round("ema", 6).alias("ema"), F.round("bias", 6).alias("bias"))
+
+
 @query(_with(FILES, f"g0 AS (SELECT {CLASS} AS grp, file_index AS idx, (file_index % 17) / 100.0::DOUBLE AS gain FROM files), g AS (SELECT * FROM g0 UNION ALL SELECT 'all', idx, gain FROM g0)", FOLD) + _FOLD_END)
 def ema_by_class(spark, d):
     own = _files(spark, d).select(policy.file_class(F.col("ext")).alias("grp"), F.col("file_index").alias("idx"), ((F.col("file_index") % 17) / 100.0).alias("gain"))

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from sedimenta.functions import codecs, kernels
 from sedimenta.functions import constants as C
-from sedimenta.operators import archive, chunking, folds, ordering
+from sedimenta.operators import archive, chunking, folds, ordering, planning
 from sedimenta.sources import container, files
 from sedimenta.streaming import ingest
 
@@ -114,3 +114,33 @@ def test_ingest_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("new_chunks").count() == 2
+
+
+def test_features_of_media_and_observed_gain(spark):
+    media = bytes(70_000) + bytes((i * i + i // 251) % 256 for i in range(70_000)) + b"ab" * 40_000
+    rows = [(0, "png", media), (1, "txt", media), (2, "mp4", b""), (3, "zip", b"PK\x03\x04" + b"x" * 50), (4, "txt", b"same text " * 900), (5, "txt", b"same text " * 900), (6, None, None)]
+    df = spark.createDataFrame([(i, f"p/{i}", e, len(b or b""), b) for i, e, b in rows], "file_index long, path string, ext string, raw_size long, content binary")
+    out = {r.file_index: r for r in planning.features(df).collect()}
+    at = [media[o : o + C.PROBE_BYTES] for o in (0, len(media) // 4, len(media) * 3 // 4)]
+    gain = lambda b: 1 - len(zlib.compress(b, 1)) / len(b) if b else 0.0
+    assert out[0].entropy == pytest.approx(sum(map(kernels.entropy, at)) / 3) and out[0].uniq == pytest.approx(sum(map(kernels.distinct_pairs, at)) / 3) and out[0].gain == pytest.approx(min(map(gain, at)))
+    assert out[1].entropy == pytest.approx(kernels.entropy(at[0])) and out[1].gain == pytest.approx(gain(at[0])) and out[0].pi_hash64 == out[1].pi_hash64
+    assert (out[2].entropy, out[2].gain, out[2].is_container, out[3].is_container, out[6].is_container) == (0.0, 0.0, True, True, False)
+    plans = {r.file_index: r for r in planning.planned(planning.features(df)).collect()}
+    assert len(plans) == 7 and plans[2].action == "WHOLE" and {p.action for p in plans.values()} <= {"WHOLE", "CDC", "DNA", "PI"}
+    built = archive.build(df, chunk_size=4096)
+    gains = {r.file_index: r for r in planning.observed_gains(built).collect()}
+    cost = sum(68 + len(codecs.best_codec(rows[4][2][k : k + 4096])[1]) for k in range(0, 9000, 4096))
+    assert gains[4].encoded == cost and gains[4].gain == pytest.approx(1 - cost / 9000) and gains[5].gain == 1.0 and gains[6].gain == 1.0
+
+
+def test_state_before_each_row(spark):
+    rows = [("a" if i % 3 else "b", i, (i * 37 % 101) / 500) for i in range(500)]
+    found = {(r.grp, r.idx): (r.ema, r.bias) for r in folds.before_each(spark.createDataFrame(rows, "grp string, idx long, gain double"), block=16).collect()}
+    for grp in "ab":
+        ema, bias = 0.0, 0.0
+        for _, i, g in [r for r in rows if r[0] == grp]:
+            assert found[grp, i] == pytest.approx((ema, bias), abs=1e-12)
+            ema = (1 - 0.12) * ema + 0.12 * g
+            step = min(0.01, 0.05 * (0.06 - ema)) if ema < 0.06 else -min(0.01, 0.02 * (ema - 0.06))
+            bias = max(-0.05, min(0.20, bias + step))
