@@ -5,10 +5,11 @@ A message of the assistant that is a JSON object {"tool_call": {"id", "name", "a
 validated against the tool's schema. Messages are put in topological order: a result never stands before its call, else turns keep their
 order. Each is serialised as canonical JSON: keys sorted, no spaces, arguments' keys sorted at every depth.
 
-A conversation is never gathered: the order is a sort key of each row, so that a conversation of any length spreads over tasks.
+A conversation is never gathered: the order is a sort key of each row, calls and results meet by conversation and identifier, and plain messages
+aren't shuffled at all, so that a conversation of any length spreads over tasks.
 
 Cases: null texts and roles are plain messages with null content and role; JSON that can't be read, or is too long to be read, is plain; a call id that is used again links results to its
-first turn and makes these calls invalid; results without a call are kept and invalid; repeated rows are kept; an empty table gives no rows; other columns are
+first turn and makes these calls invalid; results without a call are kept and invalid; calls without a result are kept, valid and not linked; a call without a turn has no place and is invalid; repeated rows are kept; an empty table gives no rows; other columns are
 ignored.
 """
 
@@ -59,8 +60,12 @@ def linked(messages: DataFrame, tools: dict) -> DataFrame:
     result = (F.col("role") == "tool") & got("$.tool_call_id").isNotNull()
     read = read.withColumn("kind", F.when(call, "call").when(result, "result").otherwise("message"))
     read = read.withColumn("call_id", F.when(F.col("kind") == "call", got("$.tool_call.id")).when(F.col("kind") == "result", got("$.tool_call_id")))
-    calls = read.where("kind = 'call'").groupBy(F.col("conv_id").alias("c"), F.col("call_id").alias("i")).agg(F.min("turn").alias("call_turn"), F.count("*").alias("uses"))
-    joined = read.join(calls, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("call_id") == F.col("i")), "left")
+    tools_only = read.where("kind <> 'message'")
+    own_turn = F.when(F.col("kind") == "call", F.col("turn"))
+    met = tools_only.groupBy(F.col("conv_id").alias("c"), F.col("call_id").alias("i")).agg(F.min(own_turn).alias("call_turn"), F.count(own_turn).alias("uses"), F.count(F.when(F.col("kind") == "result", 1)).alias("results"))
+    joined = tools_only.join(met.hint("shuffle_hash"), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("call_id") == F.col("i")))
+    nothing = [F.lit(None).cast("long").alias(c) for c in ("call_turn", "uses", "results")]
+    joined = joined.drop("c", "i").unionByName(read.where("kind = 'message'").select("*", *nothing))
     is_call, is_result = F.col("kind") == "call", F.col("kind") == "result"
     arguments = got("$.tool_call.arguments", "variant")
     name = got("$.tool_call.name")
@@ -78,7 +83,7 @@ def linked(messages: DataFrame, tools: dict) -> DataFrame:
         "role",
         "kind",
         "call_id",
-        F.when(is_result, F.col("call_turn").isNotNull()).when(is_call, True).otherwise(False).alias("linked"),
+        F.when(is_result, F.col("call_turn").isNotNull()).when(is_call, F.col("results") > 0).otherwise(False).alias("linked"),
         valid.alias("valid"),
         F.when(is_result, F.greatest("turn", "call_turn")).otherwise(F.col("turn")).alias("order_turn"),
         F.when(is_result, 1).otherwise(0).alias("order_phase"),
@@ -113,9 +118,11 @@ WITH m AS (
          CASE WHEN role IN ('user', 'assistant')
               THEN 'call-' || coalesce(CAST(conv_id AS VARCHAR), 'null') || '-' || CAST(turn - CASE WHEN role = 'assistant' THEN 1 ELSE 0 END AS VARCHAR) END AS call_id
   FROM conversations),
-calls AS (SELECT conv_id, call_id, min(turn) AS call_turn, count(*) AS uses FROM m WHERE kind = 'call' GROUP BY ALL)
+calls AS (
+  SELECT conv_id, call_id, min(turn) FILTER (kind = 'call') AS call_turn, count(turn) FILTER (kind = 'call') AS uses, count(*) FILTER (kind = 'result') AS results
+  FROM m WHERE kind <> 'message' GROUP BY ALL)
 SELECT m.conv_id, m.turn, m.role, m.kind, m.call_id,
-       CASE kind WHEN 'result' THEN call_turn IS NOT NULL WHEN 'call' THEN true ELSE false END AS linked,
+       CASE kind WHEN 'result' THEN call_turn IS NOT NULL WHEN 'call' THEN results > 0 ELSE false END AS linked,
        CASE kind WHEN 'call' THEN coalesce(length(text) >= 1 AND turn >= 0, false) AND uses = 1 WHEN 'result' THEN call_turn IS NOT NULL ELSE true END AS valid,
        CASE kind WHEN 'result' THEN greatest(turn, call_turn) ELSE turn END AS order_turn,
        CASE kind WHEN 'result' THEN 1 ELSE 0 END AS order_phase,

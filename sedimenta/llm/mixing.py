@@ -119,4 +119,4 @@ def mix(docs: DataFrame, limit: float | None = LIMIT, entropy: float | None = No
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, by bytes of text, with at most two passes."""
     mixed = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return mixed.select("doc_id", "source", "n_tokens", "pass", "block", "place")
+    return mixed.select("doc_id", "source", F.col("n_tokens").alias("n_bytes"), "pass", "block", "place")

@@ -58,7 +58,7 @@ def cluster_of(text: str = "text"):
 def pack(docs: DataFrame, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS, length=None, cluster=None) -> DataFrame:
     """(doc_id, piece, n_tokens, bin_id, start) for each piece of each row of docs (doc_id, source, text).
 
-    length and cluster are columns of docs: bytes of text and its normalised hash if not given. bin_id is the same for pieces in one bin.
+    length and cluster are columns of docs: bytes of text and its normalised hash if not given; n_tokens is a piece's part of length. bin_id is the same for pieces in one bin.
     """
     size = F.coalesce((length if length is not None else F.octet_length(F.col("text").cast("binary"))).cast("long"), F.lit(0).cast("long"))
     own = F.when(F.col("text").isNotNull(), cluster if cluster is not None else cluster_of())
@@ -90,4 +90,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into bins of 8,192 bytes."""
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumnRenamed("n_tokens", "n_bytes")

@@ -20,7 +20,7 @@ def root(spark: SparkSession) -> str:
     if configured:
         return configured.rstrip("/")
     if not _LOCAL:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         _LOCAL.append("file://" + tempfile.mkdtemp(prefix="sedimenta-"))
     return _LOCAL[0]

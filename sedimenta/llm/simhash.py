@@ -88,6 +88,8 @@ def links(fps: DataFrame, radius: int = 2, dense: int = DENSE) -> DataFrame:
 
     Outside of dense cells these are all such pairs. Needs radius 2: a midpoint is one bit from both ends.
     """
+    if radius != 2:
+        raise ValueError("midpoints of dense cells are right for radius 2 only")
     found = scratch.save(cells(fps, radius), "simhash-cells")
     shared = found.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
     met = scratch.save(found.join(shared, "cell"), "simhash-met")

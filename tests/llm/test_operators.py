@@ -283,6 +283,11 @@ def test_simhash_components_in_crowded_cells(spark, dense):
     assert all(found.get(f, f) == root(f) for f in signed)
 
 
+def test_only_the_radius_of_midpoints(spark):
+    with pytest.raises(ValueError):
+        simhash.links(spark.createDataFrame([(1,)], "fp long"), radius=3)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(2000).selectExpr("(id * 7919) % 2003 AS u", "((id + 1) * 7919) % 2003 AS v").repartition(7)
     assert {r.component for r in graph.components(edges).collect()} == {0}
@@ -414,6 +419,17 @@ def test_chat(spark):
     assert chat.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, kind int").limit(0), chat.RESPOND).count() == 0
 
 
+def test_one_giant_conversation(spark):
+    call = '{"tool_call": {"name": "respond", "id": "c%d", "arguments": {"prompt": "p", "turn": %d}}}'
+    rows = [(1, i, *(("assistant", call % (i, i)) if i % 10 == 0 else ("tool", '{"tool_call_id": "c%d", "content": "r"}' % (i - 1)) if i % 20 == 1 else ("user", f"plain {i}"))) for i in range(4000)]
+    df = chat.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4), chat.RESPOND)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    out = {r.turn: r for r in df.collect()}
+    assert len(out) == 4000 and all(out[i].valid for i in out)
+    assert all(out[i].linked == (i % 20 == 0 or i % 20 == 1) for i in out) and out[21].order_turn == 21
+
+
 # 8
 
 
