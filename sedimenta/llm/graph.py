@@ -50,10 +50,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     Edges of equal or null ends add nothing. Batches are first shortened to stars by union-find, each on its own, then large-star and
     small-star steps alternate until the edge set stays the same. Both steps keep at most as many edges as there were. Every step is a
-    written table; a component is never gathered in a task.
+    written table; a component is never gathered as a whole, but the edges of one hub, once each, meet in a join by node, whose skewed partitions
+    adaptive execution splits.
     """
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v")
-    now = scratch.save(edges.mapInArrow(_forest, "u long, v long"), name)
+    now = scratch.save(edges.mapInArrow(_forest, "u long, v long").distinct(), name)
     print_of = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     seen = print_of(now)
     while seen[0]:
