@@ -29,6 +29,8 @@ LOW = 0x5555555555555555
 GROUPS = 5
 #: Words of a shingle where texts are compared whole, and places that hashed shingles are counted in, to order them.
 SHINGLE, PLACES = 5, 1 << 18
+#: Turns in which the texts of a shingle are compared with one of them, before those that are still apart are compared with each other.
+LEADERS = 5
 #: Bytes that words are hashed by at a time, the base of their polynomials, and shingles of texts that a worker remembers.
 BLOCK, BASE, REMEMBERED = 1 << 16, 0x100000001B3, 2_000_000
 _TABLES: dict = {}
@@ -174,38 +176,49 @@ def similar(texts: DataFrame, least: float) -> DataFrame:
 
     def first(batches):
         for batch in batches:
-            rows = []
+            rows, sizes = [], []
             for text in batch.column(1).to_pylist():
                 own = shingles(text)
+                sizes.append(len(own))
                 often = sent.value[own & (PLACES - 1)]
                 share = np.lexsort((own, often))[: len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1]
-                rows.append((own[share[often[share] > 1]], len(own)))
+                places = np.flatnonzero(often[share] > 1)
+                rows.append((own[share[places]], len(own) - places))
             lengths = [len(r) for r, _ in rows]
             of = pa.array(np.repeat(np.arange(len(rows)), lengths))
             kept = [batch.column(i).take(of) for i in (0, 2, 3)]
-            token = np.concatenate([r for r, _ in rows]) if rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.repeat(np.array([n for _, n in rows], np.int32), lengths)), pa.array(token, pa.int64())], names=["h", "fp", "component", "n", "token"])
+            token, rest = (np.concatenate([r[i] for r in rows]) if rows else np.zeros(0, np.int64) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.repeat(np.array(sizes, np.int32), lengths)), pa.array(rest.astype(np.int32)), pa.array(token, pa.int64())], names=["h", "fp", "component", "n", "rest", "token"])
 
-    heads = scratch.save(texts.select("text_hash", "text", "fp", "component").mapInArrow(first, "h long, fp long, component long, n int, token long"), "simhash-heads")
+    heads = scratch.save(texts.select("text_hash", "text", "fp", "component").mapInArrow(first, "h long, fp long, component long, n int, rest int, token long"), "simhash-heads")
     mixed = lambda rows: rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
     met = scratch.save(heads.join(mixed(heads), "token"), "simhash-shared")
     scratch.drop(heads)
-    sized = (F.col("a.n") >= F.col("b.n") * least - 1e-9) & (F.col("b.n") >= F.col("a.n") * least - 1e-9)
+    # at their first common shingle two such sets still have all that they must share before them
+    shared = least / (1 + least) * (F.col("a.n") + F.col("b.n")) - 1e-6
+    sized = (F.col("a.rest") >= shared) & (F.col("b.rest") >= shared)
     names = ("h", "fp", "component")
     pair = [F.col(f"{side}.{c}").alias(f"{c}_{side}") for side in "ab" for c in names]
-    # first with one text of each shingle, which joins most of what is alike; then all that are still apart
-    lead = met.groupBy("token").agg(F.min(F.struct("component", "h", "fp", "n")).alias("l")).select("token", "l.*")
-    begun = met.alias("a").join(lead.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.component") != F.col("b.component")) & sized).select(pair).distinct()
-    one = compared(texts, scratch.save(begun, "simhash-pairs"), least)
-    parts = scratch.save(graph.components(one.select(F.col("component_a").alias("u"), F.col("component_b").alias("v")), "simhash-merged"), "simhash-merged")
-    now = met.join(parts.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
-    now = scratch.save(now.select("token", "h", "fp", "n", F.coalesce("to", "component").alias("component")), "simhash-shared")
+    # first with one text of each shingle, another one each turn, which joins most of what is alike; then all that are still apart
+    found = []
+    for turn in range(LEADERS):
+        lead = met.groupBy("token").agg(F.min(F.struct(F.xxhash64("h", F.lit(turn)).alias("place"), "component", "h", "fp", "n", "rest")).alias("l")).select("token", "l.component", "l.h", "l.fp", "l.n", "l.rest")
+        begun = met.alias("a").join(lead.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.component") != F.col("b.component")) & sized).select(pair).distinct()
+        found.append(compared(texts, scratch.save(begun, "simhash-pairs"), least))
+        if not found[-1].first():
+            break
+        parts = scratch.save(graph.components(found[-1].select(F.col("component_a").alias("u"), F.col("component_b").alias("v")), "simhash-merged"), "simhash-merged")
+        now = met.join(parts.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("token", "h", "fp", "n", "rest", F.coalesce("to", "component").alias("component"))
+        left = scratch.save(now.join(mixed(now), "token"), "simhash-shared")
+        scratch.drop(met, parts)
+        met = left
+    apart = met.alias("a").join(met.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.component") < F.col("b.component")) & sized).select(pair).distinct()
+    found.append(compared(texts, scratch.save(apart, "simhash-pairs"), least))
     scratch.drop(met)
-    left = now.join(mixed(now), "token")
-    apart = left.alias("a").join(left.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.component") < F.col("b.component")) & sized).select(pair).distinct()
-    two = compared(texts, scratch.save(apart, "simhash-pairs"), least)
-    scratch.drop(now)
-    return one.unionByName(two).select(F.col("fp_a").alias("u"), F.col("fp_b").alias("v"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.select(F.col("fp_a").alias("u"), F.col("fp_b").alias("v"))
 
 
 def compared(texts: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
