@@ -31,6 +31,8 @@ GROUPS = 5
 SHINGLE, PLACES = 5, 1 << 18
 #: Turns in which the texts of a shingle are compared with one of them, before those that are still apart are compared with each other.
 LEADERS = 5
+#: Longs of parity bits that tell how far two sets of shingles are apart at least.
+PARITIES = 8
 #: Bytes that words are hashed by at a time, the base of their polynomials, and shingles of texts that a worker remembers.
 BLOCK, BASE, REMEMBERED = 1 << 16, 0x100000001B3, 2_000_000
 _TABLES: dict = {}
@@ -154,12 +156,19 @@ def shingles(text: bytes | None, width: int = SHINGLE) -> np.ndarray:
     return np.unique(found).view(np.int64)
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """For each place of PARITIES longs, whether an odd number of the shingles falls on it. Two sets differ in as many shingles as in bits, or more."""
+    odd = np.bincount((own.view(np.uint64) >> np.uint64(32)).astype(np.int64) % (64 * PARITIES), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def similar(texts: DataFrame, least: float) -> DataFrame:
     """(u, v) fingerprints of all pairs of texts (text_hash, text, fp, component) of different components whose shingles have that Jaccard similarity.
 
     Of two such sets, each has one in common among its first (1 - least) share and one more, in any order that is the same for all. Here
     the rare come first, by counts of hashed places. Shingles that only one component has are left out; of pairs that share one, those of one text
-    of the shingle with its others are compared whole, and then those that are in different components even so.
+    of the shingle with its others are compared whole, and then those that are in different components even so and whose parities
+    differ in no more bits than sets of their sizes may differ in shingles.
     """
     def count(batches):
         n = np.zeros(PLACES, np.int64)
@@ -212,9 +221,20 @@ def similar(texts: DataFrame, least: float) -> DataFrame:
         left = scratch.save(now.join(mixed(now), "token"), "simhash-shared")
         scratch.drop(met, parts)
         met = left
-    apart = met.alias("a").join(met.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.component") < F.col("b.component")) & sized).select(pair).distinct()
-    found.append(compared(texts, scratch.save(apart, "simhash-pairs"), least))
+    def mark(batches):
+        for batch in batches:
+            marks = np.array([parities(shingles(t)) for t in batch.column(1).to_pylist()], np.int64).reshape(-1, PARITIES)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(marks[:, k]) for k in range(PARITIES)]], names=["h", *bits])
+
+    bits = [f"bits{k}" for k in range(PARITIES)]
+    marked = texts.join(met.select(F.col("h").alias("text_hash")).distinct(), "text_hash", "left_semi").select("text_hash", "text").mapInArrow(mark, "h long, " + ", ".join(f"{c} long" for c in bits))
+    ready = scratch.save(met.join(marked, "h"), "simhash-marked")
     scratch.drop(met)
+    differ = sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in bits[1:]), F.bit_count(F.col("a.bits0").bitwiseXOR(F.col("b.bits0"))))
+    close = differ <= (1 - least) / (1 + least) * (F.col("a.n") + F.col("b.n")) + 1e-6
+    apart = ready.alias("a").join(ready.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.component") < F.col("b.component")) & sized & close).select(pair).distinct()
+    found.append(compared(texts, scratch.save(apart, "simhash-pairs"), least))
+    scratch.drop(ready)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

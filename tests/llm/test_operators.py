@@ -619,3 +619,42 @@ def test_rare_and_long_words_of_urls_are_known(spark):
     segmenter = url_filter.Segmenter(log_p)
     assert len(common) > 20_000 and len(log_p) < 1000
     assert segmenter.split("zebuquokka") == ["zebu", "quokka"] and segmenter.split(long + "zebu") == [long, "zebu"]
+
+
+@given(st.lists(st.integers(-(1 << 63), (1 << 63) - 1), max_size=200), st.lists(st.integers(-(1 << 63), (1 << 63) - 1), max_size=200))
+@settings(deadline=None, max_examples=50)
+def test_parities_differ_no_more_than_sets(a, b):
+    bits = [int(simhash.parities(np.array(sorted(set(x)), np.int64)).view(np.uint8).astype(object).dot([256**k for k in range(8 * simhash.PARITIES)])) for x in (a, b)]
+    assert (bits[0] ^ bits[1]).bit_count() <= len(set(a) ^ set(b))
+
+
+@pytest.mark.parametrize("turns", [0, 1, 5])
+def test_similar_texts_equal_brute_force(spark, monkeypatch, turns):
+    """Families with a passage in common, whose members have up to three new words; every pair is tried, with and without leaders."""
+    monkeypatch.setattr(simhash, "LEADERS", turns)
+    rng = random.Random(5)
+    words = [f"{a}{b}" for a in "ka lo mi nu pe".split() for b in "ra so ti vu ze".split()]
+    passage = [rng.choice(words) for _ in range(40)]
+    texts = ["", "one", "two words", "a b c d e"]
+    for _ in range(12):
+        base = [rng.choice(words) for _ in range(60)] + passage
+        for member in range(12):
+            own = list(base)
+            for _ in range(member % 4):
+                own[rng.randrange(len(own))] = f"new{rng.randrange(10**6)}"
+            texts.append(" ".join(own))
+    rows = [(k, t.encode(), k, k) for k, t in enumerate(texts)]
+    found = simhash.similar(spark.createDataFrame(rows, "text_hash long, text binary, fp long, component long"), 0.8).collect()
+    sets = [set(zip(*[t.split()[k:] for k in range(5)])) or {t} for t in texts]
+    true = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if texts[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    pairs = {(min(r), max(r)) for r in found}
+    assert len(true) > 50 and pairs <= true
+
+    def parts(edges):
+        top = list(range(len(texts)))
+        for a, b in sorted(edges):
+            a, b = top[a], top[b]
+            top = [min(a, b) if t in (a, b) else t for t in top]
+        return top
+
+    assert parts(pairs) == parts(true) and (turns or pairs == true)
