@@ -30,7 +30,9 @@ GROUPS = 5
 #: Words of a shingle where texts are compared whole, and places that hashed shingles are counted in, to order them.
 SHINGLE, PLACES = 5, 1 << 18
 #: Turns in which the texts of a shingle are compared with one of them, before those that are still apart are compared with each other.
-LEADERS = 5
+LEADERS = 3
+#: Rows whose texts a worker turns into Python objects at a time.
+ROWS = 256
 #: Longs of parity bits that tell how far two sets of shingles are apart at least.
 PARITIES = 8
 #: Bytes that words are hashed by at a time, the base of their polynomials, and shingles of texts that a worker remembers.
@@ -40,6 +42,13 @@ _TABLES: dict = {}
 DENSE = 48
 
 
+def _pieces(batches):
+    """The same rows in batches of ROWS at most."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, ROWS):
+            yield batch.slice(k, ROWS)
+
+
 def fingerprint(text: bytes | None, width: int = 3, seed: int = SEED) -> int:
     """The unsigned 64-bit fingerprint: a bit is 1 if set in over half of the shingles' hashes."""
     from xxhash import xxh64_intdigest
@@ -67,7 +76,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = SEED) -> DataFrame
     """(doc_id, text_hash, fp): fp is the fingerprint's bits as a signed long."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _pieces(batches):
             bits = [fingerprint(t, width, seed) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([b - (1 << 64) if b >> 63 else b for b in bits], pa.int64())], names=["doc_id", "text_hash", "fp"])
 
@@ -172,7 +181,7 @@ def similar(texts: DataFrame, least: float) -> DataFrame:
     """
     def count(batches):
         n = np.zeros(PLACES, np.int64)
-        for batch in batches:
+        for batch in _pieces(batches):
             for text in batch.column(0).to_pylist():
                 np.add.at(n, shingles(text) & (PLACES - 1), 1)
         place = np.flatnonzero(n)
@@ -184,7 +193,7 @@ def similar(texts: DataFrame, least: float) -> DataFrame:
     sent = texts.sparkSession.sparkContext.broadcast(common)
 
     def first(batches):
-        for batch in batches:
+        for batch in _pieces(batches):
             rows, sizes = [], []
             for text in batch.column(1).to_pylist():
                 own = shingles(text)
@@ -222,7 +231,7 @@ def similar(texts: DataFrame, least: float) -> DataFrame:
         scratch.drop(met, parts)
         met = left
     def mark(batches):
-        for batch in batches:
+        for batch in _pieces(batches):
             marks = np.array([parities(shingles(t)) for t in batch.column(1).to_pylist()], np.int64).reshape(-1, PARITIES)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(marks[:, k]) for k in range(PARITIES)]], names=["h", *bits])
 
@@ -247,7 +256,7 @@ def compared(texts: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
 
     def compare(batches):
         known, size = {}, 0  # shingles by text, as pairs of one text come together
-        for batch in batches:
+        for batch in _pieces(batches):
             good = []
             for h, g, x, y in zip(*[batch.column(c).to_pylist() for c in ("h_a", "h_b", "text_a", "text_b")]):
                 sets = []
